@@ -5,7 +5,8 @@ proper prefix of known words. Texts cut between words are found by corpus statis
 for every word in the frame (first two words of the sentence, place among its first words,
 preceding word, word) it is counted how
 often a complete sentence ends there and how often it goes on. Length evidence (an unusual heap of open
-endings at one length of a source) decides where these statistics leave both readings possible.
+endings at one length of a source) decides where these statistics leave both readings possible, and
+else how often the source plainly cuts or plainly leaves out the full stop.
 
 The trie is kept as a table of its nodes (prefix, number of words below) and probed by a join, so it may
 outgrow any single machine. Counts are made over all texts, pre-aggregated per input partition.
@@ -243,7 +244,15 @@ def judged(
     out = out.withColumn("source_key", F.coalesce("source", F.lit("\0")))
     for unit in UNITS:
         out = out.join(_heaps(tails, unit, heap, heap_ratio), ["corpus", "source_key", f"n_{unit}"], "left")
-    return out.withColumn("is_cut", _verdict(low, few)).drop("source_key")
+    out = out.withColumn("clear", _clear(low, few))
+    habits = out.groupBy("corpus", "source_key").agg(F.count(F.when(F.col("clear"), 1)).alias("clear_cut"), F.count(F.when(~F.col("clear"), 1)).alias("clear_whole"))
+    odds = ((F.col("clear_cut") + 1) / (F.col("clear_whole") + 1)) * ((1 - F.col("p")) / F.col("p"))
+    return (
+        out.withColumn("p", _end_share(few))
+        .join(habits, ["corpus", "source_key"])
+        .withColumn("is_cut", F.coalesce("clear", odds > 1, F.lit(False)))
+        .drop("source_key")
+    )
 
 
 def _heaps(tails: DataFrame, unit: str, heap: int, ratio: float) -> DataFrame:
@@ -260,23 +269,32 @@ def _heaps(tails: DataFrame, unit: str, heap: int, ratio: float) -> DataFrame:
     )
 
 
-def _verdict(low: float, few: int) -> Column:
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    recurs = F.when(zero("recurs") >= few, zero("recurs")).otherwise(0)
-    ends, on = zero("ends") + recurs, zero("goes_on")
-    p = ends / F.greatest(ends + on, F.lit(1))
-    pair_p = zero("pair_ends") / F.greatest(zero("pair_ends") + zero("pair_on"), F.lit(1))
-    unknown = F.col("n").isNull() & (zero("words_below") > 0)
+def _zero(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(0))
+
+
+def _end_share(few: int) -> Column:
+    """The share of sentence ends among what follows the last frame; null where it was never seen."""
+    ends = _zero("ends") + F.when(_zero("recurs") >= few, _zero("recurs")).otherwise(0)
+    pair = F.try_divide(_zero("pair_ends"), _zero("pair_ends") + _zero("pair_on"))
+    return F.coalesce(F.try_divide(ends, ends + _zero("goes_on")), pair)
+
+
+def _clear(low: float, few: int) -> Column:
+    """True for a plain cut, false for a plain end, null where the source's habits must decide."""
+    p = _end_share(few)
+    unknown = F.col("n").isNull() & (_zero("words_below") > 0)
     at_limit = F.coalesce(F.col("limit_chars"), F.lit(False)) | F.coalesce(F.col("limit_words"), F.lit(False))
     return (
         F.when(F.col("kind").isin("broken", "open"), True)
         .when(F.col("last").isNull(), False)
-        .when(F.col("kind") == "closed", (zero("ends") == 0) & (on >= 20))
+        .when(F.col("kind") == "closed", (_zero("ends") == 0) & (_zero("goes_on") >= 20))
         .when(unknown, True)
         .when(F.col("kind") == "list", False)
-        .when(ends + on > 0, (p < low) | ((p < 0.9) & at_limit))
-        .when(zero("pair_ends") + zero("pair_on") > 0, pair_p < low)
-        .otherwise(F.col("n").isNotNull() & at_limit)
+        .when(p < low, True)
+        .when(p >= 0.9, False)
+        .when(at_limit, True)
+        .when(p.isNull(), False)
     )
 
 
