@@ -5,7 +5,7 @@ Method: min-max hashing. A text is the set of its distinct runs of `shingle` wor
 signature of twice that length costs as many hash evaluations as it has permutations. Bands of `rows`
 signature values are buckets; texts that share a bucket are candidates and are compared exactly.
 
-Exact copies are folded first (one text per distinct word sequence), so a crowd of copies meets the
+Exact copies are folded first (one text per distinct text in lower case), so a crowd of copies meets the
 buckets once; members are joined back at the end. Nothing is collected: buckets meet in a sort-merge
 join, which spills and which adaptive execution splits where one bucket holds a large share of rows.
 
@@ -149,18 +149,17 @@ def _verifier(shingle: int, threshold: float):
 
 
 def fold(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """Exact copies folded: members (id, key) and texts (key, text), one for each distinct word sequence
-    of at least min_words words."""
-    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_JVM), F.lit(0))
-    keyed = (
-        df.where(F.length(text_col) >= 2 * min_words - 1)
-        .select(F.col(id_col).cast("long").alias("id"), words.alias("words"), F.col(text_col).alias("text"))
-        .where(F.size("words") >= min_words)
-        .select("id", F.xxhash64(F.concat_ws(" ", "words")).alias("key"), "text")
-    )
+    """Exact copies folded: members (id, key) and texts (key, text), one for each distinct text in lower
+    case. Texts too short for min_words words by their length alone are left out here."""
+    keyed = df.where(F.length(text_col) >= 2 * min_words - 1).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.lower(text_col)).alias("key"), F.col(text_col).alias("text"))
     return keyed.select("id", "key"), keyed.groupBy("key").agg(F.first("text").alias("text"))
 
 
+def long_enough(texts: DataFrame, min_words: int) -> DataFrame:
+    """The texts of at least min_words words."""
+    return texts.where(F.size(F.regexp_extract_all(F.lower("text"), F.lit(WORD_JVM), F.lit(0))) >= min_words)
+
+
 def text_links(texts: DataFrame, *, shingle: int = 5, threshold: float = 0.8, min_words: int = 1, permutations: int = 75, rows: int = 5, seed: int = 17) -> DataFrame:
     """The pairs of different texts (key, text) that are alike enough: a < b, and their similarity."""
     buckets = texts.mapInArrow(_signer(shingle, min_words, permutations, rows, seed), "bucket long, key long")
@@ -177,7 +176,9 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, min_words: int =
     links = text_links(texts, min_words=min_words, **options).select("a", "b")
     left, right = members.select(F.col("id").alias("x"), F.col("key").alias("a")), members.select(F.col("id").alias("y"), F.col("key").alias("b"))
     between = links.join(left, "a").join(right, "b").select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b"))
-    copies = left.join(right, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("rec_a"), F.col("y").alias("rec_b"))
+    repeated = members.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1").select("key")
+    eligible = long_enough(texts.join(repeated, "key", "left_semi"), min_words).select(F.col("key").alias("a"))
+    copies = left.join(eligible, "a", "left_semi").join(right, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("rec_a"), F.col("y").alias("rec_b"))
     return between.where("rec_a < rec_b").unionAll(copies).distinct()
 
 
@@ -211,7 +212,8 @@ def groups(df: DataFrame, id_col: str, text_col: str, *, min_words: int = 1, **o
     members, texts = fold(df, id_col, text_col, min_words)
     links = materialise(text_links(texts, min_words=min_words, **options).select("a", "b"), "links")
     copies = members.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("low"))
-    classes = _components(links, texts.select("key"))
+    keep = materialise(long_enough(texts, min_words).select("key"), "keys")
+    classes = _components(links, keep)
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     far = both.join(copies.select(F.col("key").alias("b"), "copies"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("copies").alias("far"))
     keyed = copies.join(classes, "key").join(far, "key", "left")
