@@ -172,36 +172,36 @@ def votes(pairs: DataFrame) -> DataFrame:
     texts = cast.select(F.lit("").alias("corpus"), "rec_id", F.lit(None).cast("string").alias("source"), F.col("response").alias("text"))
     ends = truncation.judged(texts).select(
         "rec_id",
-        F.when(F.col("kind").isin("broken", "open"), 1).otherwise(0).alias("truncated_mark"),
-        F.when(F.col("n").isNull() & (F.col("words_below") > 0), 1).otherwise(0).alias("truncated_word_cut"),
+        F.when(F.col("kind").isin("broken", "open"), 1).otherwise(-1).alias("truncated_mark"),
+        F.when(F.col("n").isNull() & (F.col("words_below") > 0), 1).otherwise(-1).alias("truncated_word_cut"),
         F.when(F.col("is_cut"), 1).otherwise(-1).alias("truncated_sentence"),
         F.when(F.col("limit_chars") | F.col("limit_words"), 1).otherwise(0).alias("truncated_limit"),
     ).dropDuplicates(["rec_id"])
     joined = own.join(ends, "rec_id", "left")
-    return joined.select("rec_id", *names, *(F.coalesce(F.col(f"truncated_{v}"), F.lit(-1)).cast("byte").alias(f"truncated_{v}") for v in VOTES["truncated"]))
+    return joined.select("rec_id", *names, *(F.coalesce(F.col(f"truncated_{v}"), F.lit(0 if v == "limit" else -1)).cast("byte").alias(f"truncated_{v}") for v in VOTES["truncated"]))
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 100, prior: float = 0.03, weight: float = 20.0) -> np.ndarray:
     """The posterior of the defect for each vote pattern, by expectation maximization.
 
-    patterns: rows of votes in -1, 0, 1; counts: rows of the data that show each. The tables of each vote
-    start at a plain belief (a defective row is voted +1 far more often) that also counts as `weight`
+    patterns: rows of votes in -1, 0, 1; counts: rows of the data that show each. A vote of 0 says nothing
+    either way. The tables of each vote start at a plain belief (a defective row is voted +1 far more often) that also counts as `weight`
     rows in every step, so classes can't change sides and rare votes stay moderate."""
     n_votes = patterns.shape[1]
-    start = np.array([[[0.55, 0.42, 0.03]] * n_votes, [[0.05, 0.15, 0.8]] * n_votes])  # class, vote, value -1/0/1
+    start = np.array([[[0.95, 0.05]] * n_votes, [[0.15, 0.85]] * n_votes])  # class, vote, value -1 or 1
     table, pi = start.copy(), prior
-    at = patterns + 1
+    said, at = patterns != 0, (patterns > 0).astype(np.int64)
     post = np.full(len(patterns), prior)
     for _ in range(rounds):
-        like = np.stack([np.log(table[c][np.arange(n_votes), at]).sum(1) for c in (0, 1)])
+        like = np.stack([(np.log(table[c][np.arange(n_votes), at]) * said).sum(1) for c in (0, 1)])
         like += np.log([[1 - pi], [pi]])
         new = 1 / (1 + np.exp(np.clip(like[0] - like[1], -500, 500)))
         done = np.abs(new - post).max() < 1e-9
         post = new
         for c, share in ((0, 1 - post), (1, post)):
             mass = counts * share
-            seen = np.stack([np.bincount(at[:, v], weights=mass, minlength=3) for v in range(n_votes)])
-            table[c] = (seen + weight * start[c]) / (mass.sum() + weight)
+            seen = np.stack([np.bincount(at[:, v], weights=mass * said[:, v], minlength=2) for v in range(n_votes)])
+            table[c] = (seen + weight * start[c]) / (seen.sum(1, keepdims=True) + weight)
         pi = (float((counts * post).sum()) + weight * prior) / (counts.sum() + weight)
         if done:
             break

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import neardup, truncation
+from textquarry.llm import leakage, neardup, pairs, truncation
 from textquarry.session import read_table
 
 #: Problem 3: table, text column.
@@ -24,6 +24,44 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "bench_run").select("rec_id", "prompt", F.col("ugf_response").alias("response"), F.col("failure_mode").alias("hint"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The defect of each defective pair."""
+    return pairs.main_defect(_pairs(spark, d))
+
+
+def p1_labels(spark: SparkSession, d: str) -> DataFrame:
+    """All defects whose posterior exceeds the cutoff, with the posterior."""
+    return pairs.labels(_pairs(spark, d))
+
+
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents").select(F.lit("documents").alias("corpus"), F.col("doc_id").alias("rec_id"), "text")
+    return docs.unionAll(read_table(spark, d, "ugf_cot").select(F.lit("ugf_cot").alias("corpus"), "rec_id", F.col("prompt_text").alias("text")))
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "bench").select(F.col("id").alias("item_id"), F.col("english_query").alias("text"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that carry ten or more consecutive words of an item."""
+    return leakage.leaks(_scanned(spark, d), _items(spark, d)).select("corpus", "rec_id", "item_id")
+
+
+def p2_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the longest run and its place in the original text."""
+    return leakage.leaks(_scanned(spark, d), _items(spark, d))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """How far each test item leaked."""
+    return leakage.leak_report(leakage.leaks(_scanned(spark, d), _items(spark, d)), _items(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of reworked copies within each table."""
     return _union([neardup.similar_pairs(read_table(spark, d, t), "rec_id", c, **NEAR).select(F.lit(t).alias("corpus"), "rec_a", "rec_b") for t, c in REWORKED])
@@ -49,6 +87,11 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_labels": p1_labels,
+    "p2_found": p2_found,
+    "p2_spans": p2_spans,
+    "p2_report": p2_report,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p4_found": p4_found,

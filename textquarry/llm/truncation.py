@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.?!…]+|\n+")
+TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.?!…]+|\n+|:")
 END, BREAK, FIRST = 1, 2, 4
 BULLET = re.compile(r"\s*(?:[-*•]|\d+[.)])\s+")
 CLOSERS = ")]}\"”’»'*_`"
@@ -50,7 +50,7 @@ class Lexicon:
     def of(self, token: str) -> int:
         k = self.ids.get(token)
         if k is None:
-            if token[0] == "\n" or "…" in token or "..." in token:
+            if token[0] in "\n:" or "…" in token or "..." in token:
                 k = BREAK
             elif token[0] in ".?!":
                 k = END
@@ -192,7 +192,7 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         parts = []
         for b in bodies:  # the last sentence; the whole text was read to find where it begins
-            cut = max(b.rfind(x) for x in ("\n", ". ", "? ", "! ", ".\n", "… "))
+            cut = max(b.rfind(x) for x in ("\n", ". ", "? ", "! ", ": ", "… "))
             parts.append(b[cut + 1 :] if cut >= 0 else b)
         arr = _tokens(parts, lex)
         words, framed, pair = _frames(arr, lex)
@@ -213,13 +213,15 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def judged(
-    texts: DataFrame, *, min_known: int = 3, low: float = 0.02, few: int = 5, heap: int = 10, heap_ratio: float = 5.0
+    texts: DataFrame, *, min_known: int = 3, low: float = 0.02, few: int = 5, chance: float = 0.002, heap: int = 10, heap_ratio: float = 5.0
 ) -> DataFrame:
     """Every text without a plain stop, with its evidence and the column is_cut.
 
     texts: corpus STRING, rec_id BIGINT, source STRING, text STRING. min_known: how often a word must
     occur to be known. low: the share of sentence ends at a frame below which a text that ends there is
-    cut. few: how often a whole last sentence must recur as an ending to count as a way to end. heap,
+    cut. few: how often a whole last sentence must recur as an ending to count as a way to end, and at
+    least five times as often as cuts at random would leave it, which befall a word with the probability
+    `chance`. heap,
     heap_ratio: different open endings at one length of a source, at least and as a multiple of those
     around it, to count as a field limit.
     """
@@ -244,7 +246,7 @@ def judged(
     out = out.withColumn("source_key", F.coalesce("source", F.lit("\0")))
     for unit in UNITS:
         out = out.join(_heaps(tails, unit, heap, heap_ratio), ["corpus", "source_key", f"n_{unit}"], "left")
-    out = out.withColumn("clear", _clear(low, few))
+    out = out.withColumn("clear", _clear(low, few, chance))
     habits = out.groupBy("corpus", "source_key").agg(F.count(F.when(F.col("clear"), 1)).alias("clear_cut"), F.count(F.when(~F.col("clear"), 1)).alias("clear_whole"))
     odds = ((F.col("clear_cut") + 1) / (F.col("clear_whole") + 1)) * ((1 - F.col("p")) / F.col("p"))
     return (
@@ -280,7 +282,7 @@ def _end_share(few: int) -> Column:
     return F.coalesce(F.try_divide(ends, ends + _zero("goes_on")), pair)
 
 
-def _clear(low: float, few: int) -> Column:
+def _clear(low: float, few: int, chance: float) -> Column:
     """True for a plain cut, false for a plain end, null where the source's habits must decide."""
     p = _end_share(few)
     unknown = F.col("n").isNull() & (_zero("words_below") > 0)
@@ -291,10 +293,11 @@ def _clear(low: float, few: int) -> Column:
         .when(F.col("kind") == "closed", (_zero("ends") == 0) & (_zero("goes_on") >= 20))
         .when(unknown, True)
         .when(F.col("kind") == "list", False)
+        .when((_zero("recurs") >= few) & (_zero("recurs") >= 5 * chance * _zero("goes_on")), False)
         .when(p < low, True)
         .when(p >= 0.9, False)
         .when(at_limit, True)
-        .when(p.isNull(), False)
+        .when(p.isNull(), _zero("words_below") > 0)
     )
 
 
