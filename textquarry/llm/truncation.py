@@ -2,9 +2,8 @@
 
 Method: a corpus vocabulary and its trie of proper prefixes flag a text whose last token is an unknown
 proper prefix of known words. Texts cut between words are found by corpus statistics of sentence ends:
-for every word in the frame (first two words of the sentence, place among its first words,
-preceding word, word) it is counted how
-often a complete sentence ends there and how often it goes on. Length evidence (an unusual heap of open
+for every word in its frame (first two words of the sentence, place among its first words, preceding word,
+word) it is counted how often a complete sentence ends there and how often it goes on. Length evidence (an unusual heap of open
 endings at one length of a source) decides where these statistics leave both readings possible, and
 else how often the source plainly cuts or plainly leaves out the full stop.
 
@@ -27,6 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textquarry.session import materialise
+
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.?!…]+|\n+|:")
 END, BREAK, FIRST = 1, 2, 4
 BULLET = re.compile(r"\s*(?:[-*•]|\d+[.)])\s+")
@@ -83,9 +84,8 @@ def _tokens(texts: list[str], lex: Lexicon) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def _frames(arr: np.ndarray, lex: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the words, and two keys of each: the word in its frame, and the word after its
-    neighbour alone."""
+def _frames(arr: np.ndarray, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the words, and the key of each in its frame."""
     h = np.array(lex.hashes, dtype=np.uint64)
     at = np.arange(len(arr))
     start = np.maximum.accumulate(np.where(arr < FIRST, at + 1, 0))
@@ -95,7 +95,7 @@ def _frames(arr: np.ndarray, lex: Lexicon) -> tuple[np.ndarray, np.ndarray, np.n
     prev = np.where(pos > 0, h[arr[np.maximum(words - 1, 0)]], np.uint64(0))
     second = np.where(pos > 0, h[arr[np.minimum(s + 1, len(arr) - 1)]], np.uint64(0))
     framed = np.where(pos >= 2, _mix(first, second, prev, cur, np.minimum(pos, 6)), np.where(pos == 1, _mix(first, cur), _mix(cur)))
-    return words, framed, _mix(7, prev, cur)
+    return words, framed
 
 
 def _sums(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -128,10 +128,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not texts:
             continue
         arr = _tokens(texts, lex)
-        words, framed, pair = _frames(arr, lex)
+        words, framed = _frames(arr, lex)
         after = arr[words + 1]
         ends, on = (after == END).astype(np.int64), (after >= FIRST).astype(np.int64)
-        held.append(tuple(_sums(np.concatenate([framed, pair]), np.tile(ends, 2), np.tile(on, 2))))
+        held.append(tuple(_sums(framed, ends, on)))
         counts = np.bincount(arr[words][after != BREAK], minlength=FIRST)
         for k in np.flatnonzero(counts):
             known[lex.words[k]] = known.get(lex.words[k], 0) + int(counts[k])
@@ -141,8 +141,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-TAILS = "corpus string, rec_id long, source string, kind string, last string, framed long, pair long, whole long, n_chars int, n_words int"
-_TAILS_ARROW = pa.schema([("corpus", pa.string()), ("rec_id", pa.int64()), ("source", pa.string()), ("kind", pa.string()), ("last", pa.string()), ("framed", pa.int64()), ("pair", pa.int64()), ("whole", pa.int64()), ("n_chars", pa.int32()), ("n_words", pa.int32())])
+TAILS = "corpus string, rec_id long, source string, kind string, last string, framed long, whole long, n_chars int, n_words int"
+_TAILS_ARROW = pa.schema([("corpus", pa.string()), ("rec_id", pa.int64()), ("source", pa.string()), ("kind", pa.string()), ("last", pa.string()), ("framed", pa.int64()), ("whole", pa.int64()), ("n_chars", pa.int32()), ("n_words", pa.int32())])
 
 
 def ending(text: str | None) -> tuple[str, str]:
@@ -195,19 +195,19 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = max(b.rfind(x) for x in ("\n", ". ", "? ", "! ", ": ", "… "))
             parts.append(b[cut + 1 :] if cut >= 0 else b)
         arr = _tokens(parts, lex)
-        words, framed, pair = _frames(arr, lex)
+        words, framed = _frames(arr, lex)
         stops = np.flatnonzero(arr == BREAK)
         owner = np.searchsorted(stops, words)
-        last, key, key2, whole = [None] * len(keep), [None] * len(keep), [None] * len(keep), [None] * len(keep)
+        last, key, whole = [None] * len(keep), [None] * len(keep), [None] * len(keep)
         running: dict[int, list[str]] = {}
-        for o, w, f, p in zip(owner.tolist(), words.tolist(), framed.view(np.int64).tolist(), pair.view(np.int64).tolist(), strict=True):
+        for o, w, f in zip(owner.tolist(), words.tolist(), framed.view(np.int64).tolist(), strict=True):
             if o < len(keep):
-                last[o], key[o], key2[o] = lex.words[arr[w]], f, p
+                last[o], key[o] = lex.words[arr[w]], f
                 running.setdefault(o, []).append(lex.words[arr[w]])
         for o, ws in running.items():
             whole[o] = xxhash.xxh64_intdigest(" ".join(ws)) - (1 << 63)
         yield pa.record_batch(
-            [pa.array([corpus[i] for i in keep], pa.string()), pa.array([ids[i] for i in keep], pa.int64()), pa.array([source[i] for i in keep], pa.string()), pa.array(kinds, pa.string()), pa.array(last, pa.string()), pa.array(key, pa.int64()), pa.array(key2, pa.int64()), pa.array(whole, pa.int64()), pa.array([x[0] for x in lengths], pa.int32()), pa.array([x[1] for x in lengths], pa.int32())],
+            [pa.array([corpus[i] for i in keep], pa.string()), pa.array([ids[i] for i in keep], pa.int64()), pa.array([source[i] for i in keep], pa.string()), pa.array(kinds, pa.string()), pa.array(last, pa.string()), pa.array(key, pa.int64()), pa.array(whole, pa.int64()), pa.array([x[0] for x in lengths], pa.int32()), pa.array([x[1] for x in lengths], pa.int32())],
             schema=_TAILS_ARROW,
         )
 
@@ -225,20 +225,20 @@ def judged(
     heap_ratio: different open endings at one length of a source, at least and as a multiple of those
     around it, to count as a field limit.
     """
-    stats = texts.select("text").mapInArrow(_count, STATS)
-    frames = stats.where("key is not null").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
-    vocabulary = stats.where("word is not null").groupBy("word").agg(F.sum("goes_on").alias("n")).where(F.col("n") >= min_known)
+    counts = texts.select("text").mapInArrow(_count, STATS).groupBy("key", "word").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    counts = materialise(counts, "frames")
+    frames = counts.where("key is not null").select("key", "ends", "goes_on")
+    vocabulary = counts.where("word is not null").select("word", F.col("goes_on").alias("n")).where(F.col("n") >= min_known)
     trie = (
         vocabulary.where(F.length("word") > 1)
         .select(F.explode(F.expr("transform(sequence(1, length(word) - 1), k -> left(word, k))")).alias("last"))
         .groupBy("last")
         .agg(F.count("*").alias("words_below"))
     )
-    tails = texts.select("corpus", "rec_id", "source", "text").mapInArrow(_tails, TAILS)
+    tails = materialise(texts.select("corpus", "rec_id", "source", "text").mapInArrow(_tails, TAILS), "tails")
     wholes = tails.where("whole is not null").groupBy("whole").agg(F.count("*").alias("recurs"))
     out = (
         tails.join(frames.withColumnRenamed("key", "framed"), "framed", "left")
-        .join(frames.select(F.col("key").alias("pair"), F.col("ends").alias("pair_ends"), F.col("goes_on").alias("pair_on")), "pair", "left")
         .join(vocabulary.withColumnRenamed("word", "last"), "last", "left")
         .join(trie, "last", "left")
         .join(wholes, "whole", "left")
@@ -278,8 +278,7 @@ def _zero(name: str) -> Column:
 def _end_share(few: int) -> Column:
     """The share of sentence ends among what follows the last frame; null where it was never seen."""
     ends = _zero("ends") + F.when(_zero("recurs") >= few, _zero("recurs")).otherwise(0)
-    pair = F.try_divide(_zero("pair_ends"), _zero("pair_ends") + _zero("pair_on"))
-    return F.coalesce(F.try_divide(ends, ends + _zero("goes_on")), pair)
+    return F.try_divide(ends, ends + _zero("goes_on"))
 
 
 def _clear(low: float, few: int, chance: float) -> Column:
