@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import leakage, neardup, pairs, truncation
-from textquarry.session import read_table
+from textquarry.llm import abuse, leakage, mixing, neardup, packing, pairs, truncation
+from textquarry.llm.tokens import token_counts
+from textquarry.session import materialise, read_table
 
 #: Problem 3: table, text column.
 REWORKED = (("ugf_cot", "reasoning"), ("ugf_forms_corpus", "response"), ("ugf_reasoning", "ugf_text"))
@@ -86,6 +87,57 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(_cut_input(spark, d))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens of each document, counted once."""
+    docs = read_table(spark, d, "documents")
+    return materialise(token_counts(docs), "sizes")
+
+
+def p5_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in its place in the sequences of each pack."""
+    return packing.layout(_sizes(spark, d), read_table(spark, d, "pack_sizes"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """How well each pack is filled."""
+    return packing.report(p5_layout(spark, d))
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return _sizes(spark, d).join(read_table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+
+
+def p6_draw(spark: SparkSession, d: str) -> DataFrame:
+    """The documents drawn from each source and how often."""
+    return mixing.draw(_sized(spark, d), read_table(spark, d, "mix_targets"))
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached, beside the targets."""
+    sized, targets = _sized(spark, d), read_table(spark, d, "mix_targets")
+    return mixing.shares(mixing.draw(sized, targets), sized, targets)
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents")
+    return abuse.scores(docs, abuse.fit(docs, read_table(spark, d, "review_labels")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with abusive, hateful or sexual content."""
+    return _scored(spark, d).where("is_abusive").select("doc_id")
+
+
+def p7_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document."""
+    return _scored(spark, d)
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rates of each source."""
+    return abuse.rates(read_table(spark, d, "documents"), _scored(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_labels": p1_labels,
@@ -96,6 +148,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p4_rates": p4_rates,
+    "p5_layout": p5_layout,
+    "p5_report": p5_report,
+    "p6_draw": p6_draw,
+    "p6_shares": p6_shares,
+    "p7_found": p7_found,
+    "p7_scores": p7_scores,
+    "p7_rates": p7_rates,
 }
 
 SQL: dict[str, str] = {}
