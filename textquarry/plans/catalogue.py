@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from textquarry.plans import corpus
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+_PARTS = [corpus.R]
+QUERIES = {k: v for r in _PARTS for k, v in r.queries.items()}
+SQL = {k: v for r in _PARTS for k, v in r.sql.items()}
