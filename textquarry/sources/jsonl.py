@@ -29,10 +29,10 @@ def records(spark: SparkSession, path: str, schema: T.StructType, missing_ok: bo
 def lenient(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """The well-formed records, and how many lines were malformed."""
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    raw = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    # a query on the corrupt column alone would prune the fields that decide it; all columns stay in the plan
-    flagged = raw.select("*", F.col(CORRUPT).isNotNull().alias("_bad"))
-    return flagged.where("not _bad").select(*schema.fieldNames()), flagged.groupBy().agg(F.count(F.when(F.col("_bad"), 1)).alias("n_malformed"), F.count("*").alias("n_lines"))
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("r"))
+    bad = F.col(f"r.{CORRUPT}").isNotNull()
+    return rows.where(~bad).select(*[F.col(f"r.{n}").alias(n) for n in schema.fieldNames()]), rows.agg(F.count(F.when(bad, 1)).alias("n_malformed"), F.count("*").alias("n_lines"))
 
 
 def file_label(pattern: str) -> Column:
