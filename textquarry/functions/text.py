@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +20,12 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is named: inside the lambdas of folds
+    and searches an expression would else be worked out anew at every step."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def tokens(text: str | Column) -> Column:
     """Words with inner apostrophes, single digits, newlines and single other signs."""
     return F.regexp_extract_all(_c(text), F.lit(TOKEN), F.lit(0))
@@ -164,9 +170,13 @@ def final_answer(text: str | Column, cue: str = "final answer") -> dict[str, Col
 
 def has_loop(text: str | Column, n: int = 4, times: int = 3) -> Column:
     """Whether n words come `times` times in a row: a stretch equals itself n words further on."""
-    k, span = split_words(text), n * (times - 1)
-    at = F.sequence(F.lit(0), F.greatest(F.size(k) - n * times, F.lit(0)))
-    return F.coalesce(F.when(F.size(k) >= n * times, F.exists(at, lambda p: F.slice(k, p + 1, span) == F.slice(k, p + 1 + n, span))).otherwise(False), F.lit(False))
+    span = n * (times - 1)
+
+    def found(k: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(k) - n * times, F.lit(0)))
+        return F.when(F.size(k) >= n * times, F.exists(at, lambda p: F.slice(k, p + 1, span) == F.slice(k, p + 1 + n, span))).otherwise(False)
+
+    return F.coalesce(bound(split_words(text), found), F.lit(False))
 
 
 def verdict(text: str | Column) -> Column:

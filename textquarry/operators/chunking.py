@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import is_artifact, split_words, strip_markdown
+from textquarry.functions.text import bound, is_artifact, split_words, strip_markdown
 
 
 def overlapping(text: Column, most: int = 500, overlap: int = 50) -> Column:
     """Chunks of whole paragraphs, of at most `most` words where paragraphs allow, each beginning with the
     last `overlap` words of the one before. A paragraph longer than that stays whole. A fold inside the
     row: nothing is shuffled."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\n+"), F.trim), lambda p: (p != "") & ~is_artifact(p))
+    paragraphs = F.filter(F.transform(F.split(text, r"\n\n+"), lambda p: F.trim(p)), lambda p: (p != "") & ~is_artifact(p))
     lists = F.transform(paragraphs, lambda p: split_words(strip_markdown(p)))
     empty = F.expr("cast(array() as array<string>)")
     start = F.struct(empty.alias("out"), empty.alias("cur"))
@@ -24,37 +24,40 @@ def overlapping(text: Column, most: int = 500, overlap: int = 50) -> Column:
         kept = F.when(F.size(st["cur"]) > overlap, F.slice(st["cur"], -overlap, overlap)).otherwise(empty) if overlap > 0 else empty
         return F.when(full, F.struct(F.concat(st["out"], F.array(F.array_join(st["cur"], " "))).alias("out"), F.concat(kept, ws).alias("cur"))).otherwise(F.struct(st["out"].alias("out"), F.concat(st["cur"], ws).alias("cur")))
 
-    done = F.aggregate(lists, start, step)
-    return F.when(F.size(done["cur"]) > 0, F.concat(done["out"], F.array(F.array_join(done["cur"], " ")))).otherwise(done["out"])
+    return bound(F.aggregate(lists, start, step), lambda done: F.when(F.size(done["cur"]) > 0, F.concat(done["out"], F.array(F.array_join(done["cur"], " ")))).otherwise(done["out"]))
 
 
 def _grouped(units: Column, most: int, target: int | None) -> Column:
-    """Units joined in order: a group is closed before a unit that would make it too long, or as soon as
-    it has the target's words."""
-    empty = F.expr("cast(array() as array<string>)")
+    """Units (text, n) joined in order: a group is closed before a unit that would make it too long, or as
+    soon as it has the target's words."""
+    empty = F.expr("cast(array() as array<struct<text: string, n: int>>)")
     start = F.struct(empty.alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"))
 
     def step(st: Column, u: Column) -> Column:
-        w = F.size(split_words(u))
-        full = (st["n"] > 0) & (st["n"] + w > most)
-        out = F.when(full, F.concat(st["out"], F.array(st["cur"]))).otherwise(st["out"])
-        cur = F.when(full | (st["n"] == 0), u).otherwise(F.concat(st["cur"], F.lit(" "), u))
-        n = F.when(full, w).otherwise(st["n"] + w)
+        full = (st["n"] > 0) & (st["n"] + u["n"] > most)
+        group = F.array(F.struct(st["cur"].alias("text"), st["n"].alias("n")))
+        out = F.when(full, F.concat(st["out"], group)).otherwise(st["out"])
+        cur = F.when(full | (st["n"] == 0), u["text"]).otherwise(F.concat(st["cur"], F.lit(" "), u["text"]))
+        grown = F.struct(out.alias("out"), cur.alias("cur"), F.when(full, u["n"]).otherwise(st["n"] + u["n"]).alias("n"))
         if target is None:
-            return F.struct(out.alias("out"), cur.alias("cur"), n.alias("n"))
-        shut = n >= target
-        return F.struct(F.when(shut, F.concat(out, F.array(cur))).otherwise(out).alias("out"), F.when(shut, F.lit("")).otherwise(cur).alias("cur"), F.when(shut, F.lit(0)).otherwise(n).alias("n"))
+            return grown
+        shut = lambda g: F.when(g["n"] >= target, F.struct(F.concat(g["out"], F.array(F.struct(g["cur"].alias("text"), g["n"].alias("n")))).alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"))).otherwise(g)
+        return bound(grown, shut)
+
+    return bound(F.aggregate(units, start, step), lambda done: F.when(done["n"] > 0, F.concat(done["out"], F.array(F.struct(done["cur"].alias("text"), done["n"].alias("n"))))).otherwise(done["out"]))
+
 
-    done = F.aggregate(units, start, step)
-    return F.when(done["n"] > 0, F.concat(done["out"], F.array(done["cur"]))).otherwise(done["out"])
+def _counted(texts: Column) -> Column:
+    return F.transform(texts, lambda t: F.struct(t.alias("text"), F.size(split_words(t)).alias("n")))
 
 
 def targeted(text: Column, target: int = 350, least: int = 120, most: int = 600) -> Column:
     """Chunks of about `target` words, those outside [least, most] left out; a paragraph longer than
     `most` is parted at its sentences first."""
     tidy = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.array_join(split_words(p), " ")), lambda p: p != "")
-    units = F.flatten(F.transform(tidy, lambda p: F.when(F.size(split_words(p)) <= most, F.array(p)).otherwise(_grouped(F.split(p, r'(?<=[.!?])\s+(?=[A-Z"])'), most, None))))
-    return F.filter(_grouped(units, most, target), lambda c: F.size(split_words(c)).between(least, most))
+    parted = lambda u: F.when(u["n"] <= most, F.array(u)).otherwise(_grouped(_counted(F.split(u["text"], r'(?<=[.!?])\s+(?=[A-Z"])')), most, None))
+    units = F.flatten(F.transform(_counted(tidy), parted))
+    return F.transform(F.filter(_grouped(units, most, target), lambda c: c["n"].between(least, most)), lambda c: c["text"])
 
 
 def turns(df: DataFrame, id_col: str, text: str, opener: str) -> DataFrame:

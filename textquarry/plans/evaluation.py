@@ -125,11 +125,11 @@ def a23_counts(spark, d):
     return read_table(spark, d, "bench_run").groupBy(F.regexp_replace("run_label", "_[0-9]+_[0-9]+$", "").alias("family")).agg(F.lit(n).cast("long").alias("expected"), F.count("*").alias("received"), F.countDistinct("id").alias("scored"))
 
 
-@R.query("SELECT prompt_id, track AS dim, count(reward)::BIGINT AS n_valid, CASE WHEN count(reward) >= 2 THEN round(avg(reward), 6) END AS jury_mean FROM rl_rollouts GROUP BY 1, 2")
+@R.query("SELECT prompt_id, track AS dim, count(reward)::BIGINT AS n_valid, CASE WHEN count(reward) >= 2 THEN round(avg(reward), 9) END AS jury_mean FROM rl_rollouts GROUP BY 1, 2")
 def a24_jury(spark, d):
     """A mean needs two valid scores."""
     t = read_table(spark, d, "rl_rollouts").select("prompt_id", F.col("track").alias("dim"), F.col("reward").alias("score"))
-    return scoring.jury(t, "prompt_id", "dim").withColumn("jury_mean", F.round("jury_mean", 6))
+    return scoring.jury(t, "prompt_id", "dim").withColumn("jury_mean", F.round("jury_mean", 9))
 
 
 @R.query(f"""WITH w AS (SELECT word FROM (SELECT unnest(regexp_extract_all(lower(completion_text), '[a-zA-Z]+(?:''[a-zA-Z]+)*')) AS word FROM rl_rollouts) GROUP BY 1 ORDER BY count(*) DESC, word LIMIT 500),
