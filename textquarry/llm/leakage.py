@@ -41,7 +41,7 @@ _TABLE = str.maketrans(LOOK_ALIKE)
 
 TAG = r"</?[A-Za-z][^<>]{0,300}>|<!--.*?-->"
 ENTITY = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,10}\d{0,2});"
-ESCAPE = r"\\u[0-9a-fA-F]{4}|\\[nrt](?=[^a-z]|$)"
+ESCAPE = r"\\u[0-9a-fA-F]{4}|\\[nrt]"
 WRONG = r"[ÂÃâ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,2}"
 MARKUP = re.compile(f"{TAG}|{ENTITY}|{ESCAPE}|{WRONG}", re.S)
 ELEMENT = re.compile(f"{TAG}|{ENTITY}|{ESCAPE}|{WRONG}|.", re.S)

@@ -67,7 +67,7 @@ SPELLING = {
 
 VOTES = {
     "empty": ("no_content", "placeholder", "after_marker", "hint", "has_words"),
-    "truncated": ("mark", "word_cut", "sentence", "limit"),
+    "truncated": ("mark", "word_cut", "sentence", "frame", "limit"),
     "refusal": ("decline", "opener", "closer", "little_else"),
     "echo": ("runs", "rest", "cover", "order"),
     "language": ("function_words", "spelling", "sentences"),
@@ -172,13 +172,14 @@ def votes(pairs: DataFrame) -> DataFrame:
     texts = cast.select(F.lit("").alias("corpus"), "rec_id", F.lit(None).cast("string").alias("source"), F.col("response").alias("text"))
     ends = truncation.judged(texts).select(
         "rec_id",
-        F.when(F.col("kind").isin("broken", "open"), 1).otherwise(-1).alias("truncated_mark"),
-        F.when(F.col("n").isNull() & (F.col("words_below") > 0), 1).otherwise(-1).alias("truncated_word_cut"),
+        F.when(F.col("kind").isin("broken", "open"), 1).otherwise(0).alias("truncated_mark"),
+        F.when(F.col("n").isNull() & (F.col("words_below") > 0), 1).otherwise(0).alias("truncated_word_cut"),
         F.when(F.col("is_cut"), 1).otherwise(-1).alias("truncated_sentence"),
+        F.when(F.col("clear"), 1).when(~F.col("clear"), -1).otherwise(0).alias("truncated_frame"),
         F.when(F.col("limit_chars") | F.col("limit_words"), 1).otherwise(0).alias("truncated_limit"),
     ).dropDuplicates(["rec_id"])
     joined = own.join(ends, "rec_id", "left")
-    return joined.select("rec_id", *names, *(F.coalesce(F.col(f"truncated_{v}"), F.lit(0 if v == "limit" else -1)).cast("byte").alias(f"truncated_{v}") for v in VOTES["truncated"]))
+    return joined.select("rec_id", *names, *(F.coalesce(F.col(f"truncated_{v}"), F.lit(-1 if v in ("sentence", "frame") else 0)).cast("byte").alias(f"truncated_{v}") for v in VOTES["truncated"]))
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 100, prior: float = 0.03, weight: float = 20.0) -> np.ndarray:

@@ -73,15 +73,16 @@ def _mix(*parts: np.ndarray | int) -> np.ndarray:
     return h
 
 
-def _tokens(texts: list[str], lex: Lexicon) -> np.ndarray:
-    """Token ids of all texts, each followed by a break."""
+def _tokens(texts: list[str], lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all texts, each followed by a break; and where each text ends."""
     if len(lex.words) > lex.limit:
         lex.clear()
-    get, of, out = lex.ids.get, lex.of, []
+    get, of, out, stops = lex.ids.get, lex.of, [], []
     for t in texts:
         out += [get(x) or of(x) for x in TOKEN.findall(t.lower())]
+        stops.append(len(out))
         out.append(BREAK)
-    return np.array(out, dtype=np.int64)
+    return np.array(out, dtype=np.int64), np.array(stops, dtype=np.int64)
 
 
 def _frames(arr: np.ndarray, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +128,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t for t in batch.column(0).to_pylist() if t]
         if not texts:
             continue
-        arr = _tokens(texts, lex)
+        arr, _ = _tokens(texts, lex)
         words, framed = _frames(arr, lex)
         after = arr[words + 1]
         ends, on = (after == END).astype(np.int64), (after >= FIRST).astype(np.int64)
@@ -194,16 +195,14 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bodies:  # the last sentence; the whole text was read to find where it begins
             cut = max(b.rfind(x) for x in ("\n", ". ", "? ", "! ", ": ", "… "))
             parts.append(b[cut + 1 :] if cut >= 0 else b)
-        arr = _tokens(parts, lex)
+        arr, stops = _tokens(parts, lex)
         words, framed = _frames(arr, lex)
-        stops = np.flatnonzero(arr == BREAK)
         owner = np.searchsorted(stops, words)
         last, key, whole = [None] * len(keep), [None] * len(keep), [None] * len(keep)
         running: dict[int, list[str]] = {}
         for o, w, f in zip(owner.tolist(), words.tolist(), framed.view(np.int64).tolist(), strict=True):
-            if o < len(keep):
-                last[o], key[o] = lex.words[arr[w]], f
-                running.setdefault(o, []).append(lex.words[arr[w]])
+            last[o], key[o] = lex.words[arr[w]], f
+            running.setdefault(o, []).append(lex.words[arr[w]])
         for o, ws in running.items():
             whole[o] = xxhash.xxh64_intdigest(" ".join(ws)) - (1 << 63)
         yield pa.record_batch(
@@ -290,6 +289,7 @@ def _clear(low: float, few: int, chance: float) -> Column:
         F.when(F.col("kind").isin("broken", "open"), True)
         .when(F.col("last").isNull(), False)
         .when(F.col("kind") == "closed", (_zero("ends") == 0) & (_zero("goes_on") >= 20))
+        .when((F.col("n_words") <= 4) & (_zero("recurs") >= few), False)  # a short answer that many give
         .when(unknown, True)
         .when(F.col("kind") == "list", False)
         .when((_zero("recurs") >= few) & (_zero("recurs") >= 5 * chance * _zero("goes_on")), False)
