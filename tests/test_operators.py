@@ -31,6 +31,9 @@ def test_samples(spark):
     docs = frame(spark, [(s, f"{s}-{d}-{p}") for s in "ab" for d in range(30) for p in range(3)], "source string, id string")
     held = sampling.holdout_documents(docs, 0.1, "source", "id", 3).groupBy("source").count().collect()
     assert {(r.source, r["count"]) for r in held} == {("a", 3), ("b", 3)}
+    bounded = df.withColumn("k", F.when(F.col("s") == "rare", 2).otherwise(25))
+    plain = sampling.ranked_within(bounded, ["s"], 5, "id").where("rank <= k").select("id")
+    assert {r.id for r in sampling.top_within(bounded, ["s"], "k", 5, "id", parts=7).collect()} == {r.id for r in plain.collect()}
     share = spark.range(20000).select(sampling.weighted_choice(1, [("x", 1), ("y", 3)], "id").alias("w")).where("w = 'y'").count() / 20000
     assert abs(share - 0.75) < 0.02
     assert sampling.with_replacement(df.limit(3), 50, 1, "id").count() == 50

@@ -21,15 +21,24 @@ def ranked_within(df: DataFrame, stratum: Sequence[str], seed: int, *key: str, n
     return df.withColumn(name, F.row_number().over(w))
 
 
+def top_within(df: DataFrame, stratum: Sequence[str], bound: str, seed: int, *key: str, parts: int = 64) -> DataFrame:
+    """The first `bound` rows (a column, equal within a stratum) of each stratum in hashed order.
+
+    Taken twice: within `parts` parts of a stratum and then of what these leave, so a stratum that holds
+    much of the table isn't sorted in one task; the first rows of a whole are among the first of its parts."""
+    parted = df.withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(parts)))
+    few = ranked_within(parted, [*stratum, "_part"], seed, *key, name="_rank").where(F.col("_rank") <= F.col(bound)).drop("_rank", "_part")
+    return ranked_within(few, stratum, seed, *key, name="_rank").where(F.col("_rank") <= F.col(bound)).drop("_rank")
+
+
 def stratified(df: DataFrame, n: int, stratum: str, seed: int, *key: str) -> DataFrame:
     """About n rows, each stratum by its share (one row at least), cut to n by another shuffle."""
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_size"))
     total = df.count()
     share = F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("_size") / F.lit(float(max(total, 1))), 0).cast("int"))
     sized = sizes.select(F.col(stratum).alias("_s"), share.alias("_share"))
-    # within a stratum the hash is uniform, so a bound a little above the share leaves few rows to rank
-    ranked = ranked_within(df, [stratum], seed, *key, name="_rank")
-    kept = ranked.join(sized, F.col(stratum).eqNullSafe(F.col("_s"))).where("_rank <= _share").drop("_s", "_share", "_rank")
+    bounded = df.join(sized, F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s")
+    kept = top_within(bounded, [stratum], "_share", seed, *key).drop("_share")
     return kept.orderBy(seeded(seed + 1, *key), *key).limit(n)
 
 
@@ -37,7 +46,7 @@ def holdout_documents(df: DataFrame, fraction: float, source: str, id_col: str,
     """The documents held out of each source, at least one: (source, doc)."""
     docs = df.select(F.col(source).alias("source"), doc_key(id_col).alias("doc")).distinct()
     sizes = docs.groupBy("source").agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(fraction), 0).cast("int")).alias("_n"))
-    return ranked_within(docs, ["source"], seed, "source", "doc").join(sizes, "source").where("rank <= _n").select("source", "doc")
+    return top_within(docs.join(sizes, "source"), ["source"], "_n", seed, "source", "doc").select("source", "doc")
 
 
 def weighted_choice(seed: int, weights: Sequence[tuple[str, float]], *key: str) -> Column:
@@ -71,6 +80,7 @@ def round_robin(df: DataFrame, choices: Sequence[str], *order: str, name: str =
 
 
 def one_per_tier(df: DataFrame, tier: Sequence[str], seed: int, *key: str) -> DataFrame:
-    """A random row of each tier, and how many the tier has."""
-    w = Window.partitionBy(*tier)
-    return ranked_within(df, tier, seed, *key, name="_rank").withColumn("tier_size", F.count("*").over(w)).where("_rank = 1").drop("_rank")
+    """A random row of each tier, and how many the tier has; an aggregate, so no tier is gathered."""
+    rest = [c for c in df.columns if c not in tier]
+    best = F.min_by(F.struct(*rest), F.struct(seeded(seed, *key), *key))
+    return df.groupBy(*tier).agg(best.alias("_r"), F.count("*").alias("tier_size")).select(*tier, *[F.col(f"_r.{c}").alias(c) for c in rest], "tier_size")
