@@ -83,8 +83,8 @@ def _signer(shingle: int, min_words: int, permutations: int, rows: int, seed: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
-        mult = rng.integers(1, 2**63, permutations, dtype=np.uint64) | np.uint64(1)
-        add = rng.integers(0, 2**63, permutations, dtype=np.uint64)
+        mult = rng.integers(1, 2**32, permutations, dtype=np.uint32) | np.uint32(1)
+        add = rng.integers(0, 2**32, permutations, dtype=np.uint32)
         n_bands = 2 * permutations // rows
         salt = _blend(np.arange(1, n_bands + 1, dtype=np.uint64))
         lookup = WordHashes()
@@ -96,14 +96,13 @@ def _signer(shingle: int, min_words: int, permutations: int, rows: int, seed: in
                 ok = (counts >= min_words) & (runs > 0)
                 if not ok.any():
                     continue
-                sh = sh[np.repeat(ok, runs)]
+                sh = (sh[np.repeat(ok, runs)] >> np.uint64(32)).astype(np.uint32)  # well mixed, so half of it will do
                 runs = runs[ok]
                 first = np.cumsum(runs) - runs
                 sig = np.empty((len(runs), 2 * permutations), dtype=np.uint64)
                 with np.errstate(over="ignore"):
                     for p in range(permutations):
                         v = sh * mult[p] + add[p]
-                        v ^= v >> np.uint64(32)  # the high half orders; the low half of a product is weak
                         sig[:, 2 * p] = np.minimum.reduceat(v, first)
                         sig[:, 2 * p + 1] = np.maximum.reduceat(v, first)
                     bands = np.zeros((len(runs), n_bands), dtype=np.uint64)
