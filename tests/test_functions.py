@@ -108,6 +108,8 @@ def test_small_scalars(spark):
     assert one(spark, text.original_id("t"), t="cxbot-defcx-a-b-1-passage") == "a_b_1" and one(spark, text.original_id("t"), t="other-1") is None
     assert one(spark, text.first_score("t"), t="I say 7 or 3") == 3.0 and one(spark, text.first_score("t"), t="none") == -1.0
     assert one(spark, text.passage_after("t"), t="x\nExtended passage:\n y ") == "y"
+    assert one(spark, text.without_margin_numbers("t"), t="a line 36\nin 1999 he\nx  7 ") == "a line\nin 1999 he\nx"
+    assert one(spark, text.from_header("t", "BOOK I"), t="x\nBOOK I\ny\nz") == "\ny\nz" and one(spark, text.from_header("t", "BOOK I"), t="x") is None
     assert one(spark, keys.doc_key("t"), t="a-b-c") == "a-b" and one(spark, keys.doc_key("t"), t="abc") == "abc"
     assert one(spark, keys.in_holdout("t", 1.0), t="") is False and one(spark, keys.in_holdout("t", 0.0), t="x") is False
     assert one(spark, text.violations("t", ["the", "."]), t="The Cat.") == ["Cat"]

@@ -133,6 +133,17 @@ def without_attribution(text: str | Column, names: Sequence[str]) -> Column:
     return F.when((out == "") | out.rlike(r"[.?!]$"), out).otherwise(F.concat(out, F.lit(".")))
 
 
+def without_margin_numbers(text: str | Column) -> Column:
+    """Section numbers of up to three digits at the ends of lines taken off."""
+    return F.regexp_replace(_c(text), r"(?m)[ \t]+\d{1,3}[ \t]*$", "")
+
+
+def from_header(text: str | Column, header: str) -> Column:
+    """What follows the line of a header; null without it."""
+    body = F.regexp_extract(_c(text), rf"(?ms)^{header}\s*$(.*)\z", 1)
+    return F.when(_c(text).rlike(rf"(?m)^{header}\s*$"), body)
+
+
 def passage_after(text: str | Column, label: str = "Extended passage") -> Column:
     """What follows the label's own line; the trimmed text without one."""
     parts = F.split(_c(text), rf"(?i)\n\s*{label}:\s*\n", 2)

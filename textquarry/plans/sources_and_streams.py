@@ -105,6 +105,38 @@ def k05_vocabulary_json(spark, d):
     return sinks.vocabulary_json(with_ids(words).where("id > 26"))
 
 
+@R.query("SELECT form, source, rec_id FROM (SELECT 'essay' AS form, 'lamp' AS source, rec_id FROM ugf_forms_corpus WHERE source = 'lamp_essays' ORDER BY rec_id LIMIT 25) UNION ALL SELECT form, source, rec_id FROM (SELECT 'talk' AS form, 'north' AS source, rec_id FROM ugf_forms_corpus WHERE source = 'northgate_talks' ORDER BY rec_id LIMIT 25)")
+def s06_registry(spark, d):
+    """A registry of sources, the first records of each."""
+    t = read_table(spark, d, "ugf_forms_corpus")
+    parts = [({"form": f, "source": s}, t.where(F.col("source") == name).select("rec_id")) for f, s, name in (("essay", "lamp", "lamp_essays"), ("talk", "north", "northgate_talks"))]
+    return jsonl.first_of_each(parts, "rec_id", 25)
+
+
+@R.query("SELECT policy, step FROM (SELECT policy, step, row_number() OVER (PARTITION BY policy ORDER BY step DESC) AS k FROM (SELECT DISTINCT coalesce(policy, 'none') AS policy, step FROM rl_rollouts)) WHERE k <= 3")
+def w18_retention(spark, d):
+    """The last three steps of each run are kept."""
+    t = read_table(spark, d, "rl_rollouts").select(F.coalesce("policy", F.lit("none")).alias("policy"), "step").distinct()
+    return sinks.retained(t, "step", 3, "policy")
+
+
+@R.query("SELECT '| type | n |' AS line UNION ALL SELECT '|---|---|' UNION ALL SELECT '| ' || type || ' | ' || count(*) || ' |' FROM bench GROUP BY type")
+def k06_t38_report(spark, d):
+    """An aggregated result as a Markdown table."""
+    agg = read_table(spark, d, "bench").groupBy("type").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(x,) for x in sinks.markdown(agg, ["type", "n"]).split("\n")], "line string")
+
+
+@R.query("SELECT policy, step, n FROM (SELECT coalesce(policy, 'none') AS policy, step, count(*)::BIGINT AS n FROM rl_rollouts GROUP BY 1, 2)")
+def k07_metric_rows(spark, d):
+    """Metric rows of a stream appended batch by batch."""
+    out = _place(spark, "metrics")
+    t = spark.readStream.schema(read_table(spark, d, "rl_rollouts").schema).option("pathGlobFilter", "rl_rollouts.parquet").parquet(d)
+    q = sinks.append_metrics(t.select(F.coalesce("policy", F.lit("none")).alias("policy"), "step"), out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("policy string, step int").json(f"{out}/batch_id=*").groupBy("policy", "step").agg(F.count("*").alias("n"))
+
+
 def _events(spark, d):
     return spark.readStream.schema(read_table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
 

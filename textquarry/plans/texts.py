@@ -162,6 +162,15 @@ def t35_original_ids(spark, d):
     return read_table(spark, d, "bench").select("id", text.original_id(F.concat(F.lit("cxbot-defcx-"), "id", F.lit("-reasoning"))).alias("original"))
 
 
+@R.query(r"SELECT id, question AS body, trim(question) AS after_header FROM bench")
+def t19_margins_headers(spark, d):
+    """Margin numbers off the lines, and what follows a header."""
+    b = read_table(spark, d, "bench")
+    page = F.concat(F.lit("PREFACE\nold\nCHAPTER I.\n"), F.replace("question", F.lit("\n"), F.lit(" ")), F.lit(" 36"))
+    tail = text.from_header(page, r"CHAPTER\s+[IVXLC]+\.?")
+    return b.select("id", F.regexp_replace(text.without_margin_numbers(tail), r"^\n", "").alias("body"), F.trim(F.regexp_replace(text.without_margin_numbers(tail), r"\s+", " ")).alias("after_header"))
+
+
 @R.query("SELECT item, role, content FROM (SELECT id AS item, 'assistant' AS role, expected_answer AS content FROM bench) WHERE content IS NOT NULL")
 def t20_t21_messages(spark, d):
     """The last assistant message of a chat, its passage after the label."""

@@ -78,3 +78,21 @@ def prompts(lines: DataFrame, keys: Sequence[str] = ("prompt", "english_query",
     """Prompts from lines that are plain or JSON: of an object the first non-empty of the keys."""
     of_json = F.coalesce(*[F.nullif(F.get_json_object("value", f"$.{k}"), F.lit("")) for k in keys])
     return lines.where(F.trim("value") != "").select(F.when(F.ltrim("value").startswith("{"), of_json).otherwise(F.trim("value")).alias("prompt")).where("prompt is not null")
+
+
+def first_of_each(parts: Sequence[tuple[dict[str, str], DataFrame]], order: str, limit: int | None = None) -> DataFrame:
+    """A registry of sources under their tags, of each the first `limit` rows in order."""
+    return tagged_union([(tags, df if limit is None else df.orderBy(order).limit(limit)) for tags, df in parts])
+
+
+def settings(path: str) -> dict:
+    """A configuration file: YAML where a reader is installed, else JSON."""
+    with open(path, encoding="utf-8") as f:
+        body = f.read()
+    try:
+        import yaml
+    except ImportError:
+        import json
+
+        return json.loads(body)
+    return yaml.safe_load(body)

@@ -48,6 +48,23 @@ def markdown(df: DataFrame, columns: Sequence[str], digits: int = 3) -> str:
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *rows])
 
 
+def html_table(df: DataFrame, columns: Sequence[str], title: str, digits: int = 3) -> str:
+    """A page with the table of an aggregated result, text escaped."""
+    from html import escape
+
+    show = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else escape(str(v)).replace("\n", "<br>")
+    head = "".join(f"<th>{escape(c)}</th>" for c in columns)
+    body = "\n".join("<tr>" + "".join(f"<td>{show(r[c])}</td>" for c in columns) + "</tr>" for r in df.select(*columns).toLocalIterator())
+    return f"<!doctype html>\n<title>{escape(title)}</title>\n<h1>{escape(title)}</h1>\n<table>\n<tr>{head}</tr>\n{body}\n</table>\n"
+
+
+def retained(df: DataFrame, order: str, keep: int, *by: str) -> DataFrame:
+    """The last `keep` rows of each group, as old checkpoints are let go."""
+    from pyspark.sql import Window
+
+    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))).where(F.col("_k") <= keep).drop("_k")
+
+
 def append_metrics(df: DataFrame, path: str):
     """A stream of metric rows appended as JSON lines; exactly once for each batch id."""
 
