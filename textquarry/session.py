@@ -27,8 +27,18 @@ def build_session(master: str = "local[8]", name: str = "textquarry", **conf: st
     return builder.getOrCreate()
 
 
+def _share_code(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it by sys.path alone."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
+    _share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
