@@ -62,3 +62,23 @@ def test_rates(judged):
 def test_empty(spark):
     df = spark.createDataFrame([], "corpus string, rec_id long, source string, text string")
     assert T.cut_texts(df).count() == 0 and T.cut_rates(df).count() == 0
+
+
+def test_copies_of_a_cut_text(spark):
+    cut = {
+        10_000: ("The old baker sells the broken cart by the river. If the gardener keeps a", 50),
+        20_000: ("If the gardener keeps a", 400),
+        30_000: ("The old baker sells", 50),
+        40_000: ("If the gard", 50),
+        50_000: ("Nothing tells us that one baker helps a sick", 5),
+    }
+    whole = {60_000: ("It follows", 50), 65_000: ("No", 50), 70_000: ("The old baker sells the broken cart in the town", 50)}
+    rows = [r[:4] for r in corpus()] + [("c", k + i, "m", t) for k, (t, n) in (cut | whole).items() for i in range(n)]
+    found = {r.rec_id for r in T.cut_texts(spark.createDataFrame(rows, "corpus string, rec_id long, source string, text string")).collect()}
+    assert found == {k + i for k, (_, n) in cut.items() for i in range(n)}
+
+
+def test_an_ending_of_many_different_texts(spark):
+    make = sentences()
+    rows = [r[:4] for r in corpus()] + [("c", 10_000 + k, "m", " ".join(next(make) for _ in range(3)) + " The old baker sells the broken cart") for k in range(100)]
+    assert T.cut_texts(spark.createDataFrame(rows, "corpus string, rec_id long, source string, text string")).count() == 0

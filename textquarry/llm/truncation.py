@@ -142,8 +142,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-TAILS = "corpus string, rec_id long, source string, kind string, last string, framed long, whole long, n_chars int, n_words int"
-_TAILS_ARROW = pa.schema([("corpus", pa.string()), ("rec_id", pa.int64()), ("source", pa.string()), ("kind", pa.string()), ("last", pa.string()), ("framed", pa.int64()), ("whole", pa.int64()), ("n_chars", pa.int32()), ("n_words", pa.int32())])
+TAILS = "corpus string, rec_id long, source string, kind string, last string, framed long, whole long, full long, n_chars int, n_words int"
+_TAILS_ARROW = pa.schema([("corpus", pa.string()), ("rec_id", pa.int64()), ("source", pa.string()), ("kind", pa.string()), ("last", pa.string()), ("framed", pa.int64()), ("whole", pa.int64()), ("full", pa.int64()), ("n_chars", pa.int32()), ("n_words", pa.int32())])
 
 
 def ending(text: str | None) -> tuple[str, str]:
@@ -205,8 +205,9 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             running.setdefault(o, []).append(lex.words[arr[w]])
         for o, ws in running.items():
             whole[o] = xxhash.xxh64_intdigest(" ".join(ws)) - (1 << 63)
+        full = [xxhash.xxh64_intdigest(" ".join(b.lower().split())) - (1 << 63) for b in bodies]
         yield pa.record_batch(
-            [pa.array([corpus[i] for i in keep], pa.string()), pa.array([ids[i] for i in keep], pa.int64()), pa.array([source[i] for i in keep], pa.string()), pa.array(kinds, pa.string()), pa.array(last, pa.string()), pa.array(key, pa.int64()), pa.array(whole, pa.int64()), pa.array([x[0] for x in lengths], pa.int32()), pa.array([x[1] for x in lengths], pa.int32())],
+            [pa.array([corpus[i] for i in keep], pa.string()), pa.array([ids[i] for i in keep], pa.int64()), pa.array([source[i] for i in keep], pa.string()), pa.array(kinds, pa.string()), pa.array(last, pa.string()), pa.array(key, pa.int64()), pa.array(whole, pa.int64()), pa.array(full, pa.int64()), pa.array([x[0] for x in lengths], pa.int32()), pa.array([x[1] for x in lengths], pa.int32())],
             schema=_TAILS_ARROW,
         )
 
@@ -218,9 +219,11 @@ def judged(
 
     texts: corpus STRING, rec_id BIGINT, source STRING, text STRING. min_known: how often a word must
     occur to be known. low: the share of sentence ends at a frame below which a text that ends there is
-    cut. few: how often a whole last sentence must recur as an ending to count as a way to end, and at
-    least five times as often as cuts at random would leave it, which befall a word with the probability
-    `chance`. heap,
+    cut. few: in how many different texts a whole last sentence must recur as an ending to count as a way
+    to end (copies of one text are one), and at least five times as often as cuts at random would leave
+    it, which befall a word with the probability `chance`; and how many rows must give a short answer for
+    it to count as whole, unless it has two words or more and the last is unknown or such sentences
+    plainly go on. heap,
     heap_ratio: different open endings at one length of a source, at least and as a multiple of those
     around it, to count as a field limit.
     """
@@ -235,7 +238,8 @@ def judged(
         .agg(F.count("*").alias("words_below"))
     )
     tails = materialise(texts.select("corpus", "rec_id", "source", "text").mapInArrow(_tails, TAILS), "tails")
-    wholes = tails.where("whole is not null").groupBy("whole").agg(F.count("*").alias("recurs"))
+    texts_of = tails.where("whole is not null").groupBy("whole", "full").agg(F.count("*").alias("rows"))
+    wholes = texts_of.groupBy("whole").agg(F.count("*").alias("recurs"), F.sum("rows").alias("copies"))
     out = (
         tails.join(frames.withColumnRenamed("key", "framed"), "framed", "left")
         .join(vocabulary.withColumnRenamed("word", "last"), "last", "left")
@@ -284,13 +288,15 @@ def _clear(low: float, few: int, chance: float) -> Column:
     """True for a plain cut, false for a plain end, null where the source's habits must decide."""
     p = _end_share(few)
     unknown = F.col("n").isNull() & (_zero("words_below") > 0)
+    many = _zero("copies") >= few
     at_limit = F.coalesce(F.col("limit_chars"), F.lit(False)) | F.coalesce(F.col("limit_words"), F.lit(False))
     return (
         F.when(F.col("kind").isin("broken", "open"), True)
         .when(F.col("last").isNull(), False)
         .when(F.col("kind") == "closed", (_zero("ends") == 0) & (_zero("goes_on") >= 20))
-        .when((F.col("n_words") <= 4) & (_zero("recurs") >= few), False)  # a short answer that many give
+        .when(many & (F.col("n_words") == 1) & (_zero("copies") >= 5 * chance * _zero("goes_on")), False)  # one word has no frame to tell
         .when(unknown, True)
+        .when(many & (F.col("n_words") <= 4) & ~F.coalesce(p < low, F.lit(False)), False)  # a short answer that many give
         .when(F.col("kind") == "list", False)
         .when((_zero("recurs") >= few) & (_zero("recurs") >= 5 * chance * _zero("goes_on")), False)
         .when(p < low, True)
