@@ -23,6 +23,13 @@ def test_numbering(spark):
     assert numbering.numbered(df.where("k < 0"), "k").count() == 0
 
 
+def test_opaque_ids_of_many_rows(spark):
+    df = spark.range(999_990, 1_000_020).unionAll(spark.range(100_000, 100_003)).withColumnRenamed("id", "rn")
+    got = {r.rn: r.opaque_id for r in numbering.opaque(df, "item").collect()}
+    assert len(set(got.values())) == 33 and got[1_000_000] == "item-1000000" and got[100_000] == "item-100000"
+    assert [r.opaque_id for r in numbering.opaque(frame(spark, [(7,), (None,)], "rn long"), "item").collect()] == ["item-000007", None]
+
+
 def test_samples(spark):
     df = spark.range(400).select(F.col("id"), F.when(F.col("id") < 4, "rare").otherwise("often").alias("s"))
     got = sampling.stratified(df, 40, "s", 1, "id")

@@ -42,5 +42,5 @@ def near_equal(df: DataFrame, *order: str, parts: int) -> DataFrame:
 
 
 def opaque(df: DataFrame, prefix: str, width: int = 6) -> DataFrame:
-    """An id that tells nothing, from the row number."""
-    return df.withColumn("opaque_id", F.concat(F.lit(prefix + "-"), F.lpad(F.col("rn").cast("string"), width, "0")))
+    """An id that tells nothing, from the row number, which is padded to `width` and never shortened."""
+    return df.withColumn("opaque_id", F.concat(F.lit(prefix + "-"), F.when(F.col("rn").isNotNull(), F.format_string(f"%0{width}d", F.col("rn").cast("long")))))
