@@ -103,6 +103,12 @@ def test_dialogues(spark):
     assert [(r.n, r.objection, r.reply.strip()) for r in got] == [(1, "first.", "one."), (2, "second\nline.", "two.")]
 
 
+def test_pair_ids_of_a_long_dialogue(spark):
+    df = spark.range(1, 1203).select(F.lit("d").alias("doc"), F.col("id").alias("turn"))
+    got = {r.turn: r.pair_id for r in chunking.pair_ids(df, "doc", "turn").collect()}
+    assert len(set(got.values())) == 1202 and (got[1], got[100], got[1000], got[1202]) == ("d_pair_001", "d_pair_100", "d_pair_1000", "d_pair_1202")
+
+
 def test_metrics(spark):
     df = frame(spark, [(1, "a b c d", "a c d"), (2, "", "x"), (3, None, None), (4, "a a", "a a a")], "id int, o string, m string")
     short = {r.id: r.rouge_l for r in metrics.rouge_l(df, "id", "o", "m").collect()}

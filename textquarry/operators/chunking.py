@@ -93,7 +93,7 @@ def neighbours(df: DataFrame, doc: str, order: str, speaker: str, text: str, low
 def pair_ids(df: DataFrame, doc: str, order: str, label: str = "pair") -> DataFrame:
     """Numbered ids within each document."""
     w = Window.partitionBy(doc).orderBy(order)
-    return df.withColumn("pair_id", F.concat_ws("_", F.col(doc).cast("string"), F.lit(label), F.lpad(F.row_number().over(w).cast("string"), 3, "0")))
+    return df.withColumn("pair_id", F.concat_ws("_", F.col(doc).cast("string"), F.lit(label), F.format_string("%03d", F.row_number().over(w))))
 
 
 def objections(text: Column) -> Column:
