@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -173,3 +174,18 @@ def test_client_helpers():
     assert pipelines.retried(flaky, (TimeoutError,)) == "ok" and len(calls) == 3
     with pytest.raises(KeyError):
         pipelines.retried(lambda: {}[1], (TimeoutError,))
+
+
+def test_losses_of_all_events(spark, data):
+    from textquarry.plans.catalogue import QUERIES
+    from textquarry.session import read_table
+
+    values = {r.event_id: r.value for r in read_table(spark, data, "events").collect()}
+    got = {r.event_id: r for r in QUERIES["x02_x03_all_losses"](spark, data).collect()}
+    assert set(got) == set(values) and sum(v >= 30 for v in values.values()) > 0
+    soft = lambda z: math.log1p(math.exp(-z))
+    for k, v in values.items():
+        assert got[k].ppl == pytest.approx(math.exp(min(v, 30)), rel=1e-12)
+        assert got[k].dpo == pytest.approx(soft(0.1 * (v / 100 - 1)), abs=1e-6) and got[k].apo == pytest.approx(soft(0.1 * v / 100) + soft(-0.1), abs=1e-6)
+    kept = {r.event_id: r for r in QUERIES["x02_x03_losses"](spark, data).collect()}
+    assert set(kept) == {k for k, v in values.items() if v < 20} and all((r.dpo, r.apo) == (got[k].dpo, got[k].apo) for k, r in kept.items())

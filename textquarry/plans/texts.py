@@ -360,6 +360,14 @@ def x02_x03_losses(spark, d):
     return read_table(spark, d, "events").where("value < 20").select("event_id", F.round(training.perplexity(v), 3).alias("ppl"), F.round(training.preference_loss(v / 100, one), 6).alias("dpo"), F.round(training.preference_loss(v / 100, one, variant="apo_zero"), 6).alias("apo"))
 
 
+@R.query()
+def x02_x03_all_losses(spark, d):
+    """Perplexity and preference losses of all events, those clipped at a loss of 30 among them. x02_x03_losses
+    has the events under 20 only, as its SQL. The perplexity isn't rounded, so that it can be compared relatively."""
+    v, one = F.col("value"), F.lit(1.0)
+    return read_table(spark, d, "events").select("event_id", training.perplexity(v).alias("ppl"), F.round(training.preference_loss(v / 100, one), 6).alias("dpo"), F.round(training.preference_loss(v / 100, one, variant="apo_zero"), 6).alias("apo"))
+
+
 @R.query("SELECT rollout_id, round(-(least(exp(0.2) * advantage, 1.2 * advantage) + least(exp(-0.5) * advantage, greatest(0.8, least(1.2, exp(-0.5))) * advantage)) / 2, 6) AS policy, 0.05::DOUBLE AS drift FROM rl_rollouts WHERE advantage IS NOT NULL")
 def x04_clipped(spark, d):
     """The clipped objective and the divergence of a rollout."""
