@@ -72,3 +72,22 @@ def test_label_model_keeps_its_classes():
 @pytest.mark.parametrize("text, lang", [("the cat is on the mat and it is not ours", "en"), ("je ne sais pas si la raison est dans le livre", "fr"), ("niemand weiß ob die Ordnung nicht besser ist", "de"), ("xx yy zz", None)])
 def test_language(text, lang):
     assert P.language_of(text.lower().split()) == lang
+
+
+OTHER = [
+    "Я думаю, что надежда важнее свободы. Никто не знает, почему это так.",
+    "Не знаю.",
+    "Νομίζω ότι η ελπίδα έρχεται πριν από την ελευθερία.",
+    "我认为希望先于自由。没有人知道为什么。",
+    "不知道",
+    "Myślę, że nadzieja przychodzi przed wolnością i nikt nie wie, czy porządek naprawdę wyjaśnia prawdę.",
+    "Özgürlük umuttan sonra gelir, ama hiç kimse düzenin gerçeği neden açıkladığını bilmiyor.",
+]
+
+
+def test_other_languages_and_scripts(spark):
+    rows, truth = planted()
+    df = spark.createDataFrame(rows + [(10_000 + k, rows[0][1], t, None, 0) for k, t in enumerate([*OTHER, "The letters α and β stand for the cart and the baker of the town.", "π"])], "rec_id long, prompt string, response string, hint string, empty int")
+    got = {r.rec_id for r in P.labels(df).where("defect = 'language'").collect()}
+    assert {k for k in got if k >= 10_000} == {10_000 + k for k in range(len(OTHER))}
+    assert {k for k in got if k < 10_000} == {k for k, v in truth.items() if v == "language"}

@@ -8,6 +8,12 @@ pattern has a handful of votes, so the table of patterns is bounded (3^votes), w
 The cutoffs are validated on planted defects (tests/llm/test_pairs.py): at 0.5 each planted kind is found
 and clean rows stay clean; votes agree so well that posteriors crowd at 0 and 1.
 
+Languages: prompts in English, French, German, Spanish, Portuguese, Italian and Dutch are known by their
+function words and spelling. A response in another script than the prompt is found whatever the languages
+and however short (four letters; two of Chinese, Japanese or Korean). One in another language of the Latin
+script is found from eight words on, for it lacks the function words of the prompt's. Not told apart are
+two languages of one other script, and responses of under four words in the prompt's script.
+
 Defined results: a null or blank response is `empty`; a null prompt leaves echo and language without votes;
 repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
 """
@@ -15,7 +21,11 @@ repeated rows are judged alike; an empty table gives an empty result; other colu
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +36,8 @@ from textquarry.llm import truncation
 
 MARKER = re.compile(r"so my answer is\s*:", re.I)
 WORD = re.compile(r"[^\W_]+")
+LETTER = re.compile(r"[^\W\d_]")
+BEYOND_LATIN = re.compile(r"[^\W\d_\x00-\u024f]")
 QUOTED = re.compile(r"“[^”]*”|\"[^\"]*\"|«[^»]*»|‘[^’]{12,}’")
 
 # What stands for no content.
@@ -70,7 +82,7 @@ VOTES = {
     "truncated": ("mark", "word_cut", "sentence", "frame", "limit"),
     "refusal": ("decline", "opener", "closer", "little_else"),
     "echo": ("runs", "rest", "cover", "order"),
-    "language": ("function_words", "spelling", "sentences"),
+    "language": ("function_words", "spelling", "sentences", "known_words"),
 }
 #: Posteriors above which a label is kept, and the order in which labels of a row are preferred.
 CUTOFFS = {"empty": 0.5, "echo": 0.5, "refusal": 0.5, "language": 0.5, "truncated": 0.5}
@@ -94,6 +106,21 @@ def spelling_of(text: str, least: int = 3) -> str | None:
     return best if score[best] >= least and score[best] > 1.2 * second else None
 
 
+@lru_cache(100_000)
+def _script(sign: str) -> str:
+    script = unicodedata.name(sign, "").split(" ")[0]
+    return "CJK" if script in ("HIRAGANA", "KATAKANA") else script
+
+
+def script_of(text: str) -> str | None:
+    """The script of most letters; None where there are fewer than four (two where a letter is a syllable)."""
+    if not BEYOND_LATIN.search(text):
+        return "LATIN" if len(list(islice(LETTER.finditer(text), 4))) == 4 else None
+    n = Counter(_script(c) for c in text if c.isalpha())
+    script, most = max(n.items(), key=lambda x: (x[1], x[0]), default=(None, 0))
+    return script if most >= (2 if script in ("CJK", "HANGUL") else 4) and 2 * most > n.total() else None
+
+
 def _empty_votes(text: str, hint: str | None) -> list[int]:
     body = text.strip("​﻿⁠ \t\r\n\xa0")
     bare = body.strip(" \t\r\n\"'`.,;:!?-–—_*#|/\\")
@@ -137,9 +164,12 @@ def _echo_votes(prompt: list[str], words: list[str]) -> list[int]:
 
 
 def _language_votes(prompt: str, prompt_words: list[str], text: str, words: list[str]) -> list[int]:
+    written = script_of(MARKER.sub(" ", text))
+    if written and (script_of(prompt) or written) != written:
+        return [1, 1, 1, 1]  # no word or spelling of the prompt's language can be in it
     asked = language_of(prompt_words) or spelling_of(prompt.lower())
     if asked is None or len(words) < 4:
-        return [0, 0, 0]
+        return [0, 0, 0, 0]
     got, spelt = language_of(words), spelling_of(text.lower())
     vote = lambda x: 0 if x is None else 1 if x != asked else -1
     size = {True: 0, False: 0}
@@ -148,7 +178,14 @@ def _language_votes(prompt: str, prompt_words: list[str], text: str, words: list
         lang = language_of(ws, 3)
         if lang:
             size[lang == asked] += len(ws)
-    return [vote(got), vote(spelt), 0 if not sum(size.values()) else 1 if size[False] > size[True] else -1]
+    return [vote(got), vote(spelt), 0 if not sum(size.values()) else 1 if size[False] > size[True] else -1, _known_vote(asked, text.lower(), words)]
+
+
+def _known_vote(asked: str, text: str, words: list[str]) -> int:
+    """Whether so few words are function words of the prompt's language, or spelt like it, that the
+    response can't be written in it."""
+    known, spelt = sum(w in _FUNCTION[asked] for w in words) / len(words), len(SPELLING[asked].findall(text)) / len(words)
+    return -1 if known >= 0.25 else 1 if known < 0.1 and spelt < 0.1 and len(words) >= 8 else 0
 
 
 def _voter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
