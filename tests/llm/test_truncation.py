@@ -82,3 +82,8 @@ def test_an_ending_of_many_different_texts(spark):
     make = sentences()
     rows = [r[:4] for r in corpus()] + [("c", 10_000 + k, "m", " ".join(next(make) for _ in range(3)) + " The old baker sells the broken cart") for k in range(100)]
     assert T.cut_texts(spark.createDataFrame(rows, "corpus string, rec_id long, source string, text string")).count() == 0
+
+
+def test_a_short_answer_in_a_frame_never_seen(spark):
+    rows = [r[:4] for r in corpus()] + [("c", 10_000 + k, "m", "We follow the baker, and so it follows.") for k in range(5)] + [("c", 20_000 + k, "m", "The case does not follow") for k in range(30)]
+    assert T.cut_texts(spark.createDataFrame(rows, "corpus string, rec_id long, source string, text string")).count() == 0

@@ -221,9 +221,9 @@ def judged(
     occur to be known. low: the share of sentence ends at a frame below which a text that ends there is
     cut. few: in how many different texts a whole last sentence must recur as an ending to count as a way
     to end (copies of one text are one), and at least five times as often as cuts at random would leave
-    it, which befall a word with the probability `chance`; and how many rows must give a short answer for
-    it to count as whole, unless it has two words or more and the last is unknown or such sentences
-    plainly go on. heap,
+    it, which befall a word with the probability `chance`; and how many rows must give a short answer (of
+    up to four words, or eight in a frame never seen) for it to count as whole, unless it has two words or
+    more and the last is unknown or such sentences plainly go on. heap,
     heap_ratio: different open endings at one length of a source, at least and as a multiple of those
     around it, to count as a field limit.
     """
@@ -296,7 +296,7 @@ def _clear(low: float, few: int, chance: float) -> Column:
         .when(F.col("kind") == "closed", (_zero("ends") == 0) & (_zero("goes_on") >= 20))
         .when(many & (F.col("n_words") == 1) & (_zero("copies") >= 5 * chance * _zero("goes_on")), False)  # one word has no frame to tell
         .when(unknown, True)
-        .when(many & (F.col("n_words") <= 4) & ~F.coalesce(p < low, F.lit(False)), False)  # a short answer that many give
+        .when(many & (F.col("n_words") <= F.when(p.isNull(), 8).otherwise(4)) & ~F.coalesce(p < low, F.lit(False)), False)  # a short answer that many give
         .when(F.col("kind") == "list", False)
         .when((_zero("recurs") >= few) & (_zero("recurs") >= 5 * chance * _zero("goes_on")), False)
         .when(p < low, True)
