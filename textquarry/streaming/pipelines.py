@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textquarry.operators.dedup import pending
+from textquarry.session import ship
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
@@ -30,6 +31,7 @@ def completed(df: DataFrame, out: str, checkpoint: str, key: str, worker: str, c
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        ship(spark)
         done = _written(spark, out, schema, batch_id)
         todo = pending(batch, done, key, retry_failures, F.col("failed") if retry_failures else None)
         todo.repartition(F.col(worker)).mapInPandas(run, schema).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
@@ -88,6 +90,7 @@ def halting(df: DataFrame, key: str, step: str, value: str, rows: int = 50, most
         state.update((held,))
         yield pd.DataFrame(out, columns=["key", "step", "trailing", "halt"])
 
+    ship(df.sparkSession)
     return df.groupBy(key).applyInPandasWithState(update, HALTED, "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
