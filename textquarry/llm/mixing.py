@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textquarry.session import ship
+
 
 def source_name(column: str) -> Column:
     """A source's name without differences of case, blanks and hyphens."""
@@ -72,6 +74,7 @@ def draw(sizes: DataFrame, targets: DataFrame, *, fraction: float = 1.0, block_t
         .join(aim, "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(n_shards)))
     )
     held = docs.groupBy("shard", "source").agg(F.sum("n_tokens").alias("held"), F.first("target_share").alias("target_share"), F.first("max_repeats").alias("max_repeats"))
+    ship(sizes.sparkSession)
     quotas = held.groupBy("shard").applyInPandas(_quotas(fraction, block_tokens), "shard long, source string, quota long, blocks long")
     w = Window.partitionBy("shard", "source").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")
     placed = docs.withColumn("upto", F.sum("n_tokens").over(w)).join(held.select("shard", "source", "held"), ["shard", "source"]).join(quotas, ["shard", "source"])

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.session import ship
+
 LAYOUT = "pack_name string, capacity long, bin_id long, position int, doc_id long, piece int, start_token long, n_tokens long"
 
 
@@ -85,6 +87,7 @@ def layout(sizes: DataFrame, packs: DataFrame, *, group_items: int = 20_000, see
         pieces = part if pieces is None else pieces.unionAll(part)
     if pieces is None:
         return sizes.sparkSession.createDataFrame([], LAYOUT)
+    ship(sizes.sparkSession)
     return pieces.groupBy("pack_name", "capacity", "group").applyInPandas(_pack, LAYOUT)
 
 

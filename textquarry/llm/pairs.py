@@ -213,7 +213,7 @@ def votes(pairs: DataFrame) -> DataFrame:
         F.when(F.col("n").isNull() & (F.col("words_below") > 0), 1).otherwise(0).alias("truncated_word_cut"),
         F.when(F.col("is_cut"), 1).otherwise(-1).alias("truncated_sentence"),
         F.when(F.col("clear"), 1).when(~F.col("clear"), -1).otherwise(0).alias("truncated_frame"),
-        F.when(F.col("limit_chars") | F.col("limit_words"), 1).otherwise(0).alias("truncated_limit"),
+        F.when(F.col("at_limit"), 1).otherwise(0).alias("truncated_limit"),
     ).dropDuplicates(["rec_id"])
     joined = own.join(ends, "rec_id", "left")
     return joined.select("rec_id", *names, *(F.coalesce(F.col(f"truncated_{v}"), F.lit(-1 if v in ("sentence", "frame") else 0)).cast("byte").alias(f"truncated_{v}") for v in VOTES["truncated"]))

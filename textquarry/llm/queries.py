@@ -87,6 +87,11 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(_cut_input(spark, d))
 
 
+def p4_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """By which evidence the cut texts of each source were found."""
+    return truncation.cut_evidence(_cut_input(spark, d))
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     """The tokens of each document, counted once."""
     docs = read_table(spark, d, "documents")
@@ -148,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p4_rates": p4_rates,
+    "p4_evidence": p4_evidence,
     "p5_layout": p5_layout,
     "p5_report": p5_report,
     "p6_draw": p6_draw,

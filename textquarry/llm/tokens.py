@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.session import map_arrow
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -37,4 +39,4 @@ def _counter(path: str):
 
 def token_counts(documents: DataFrame, path: str = RANKS) -> DataFrame:
     """doc_id, n_tokens of every document: of its whole text, 0 for a null or empty one."""
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_counter(path), "doc_id long, n_tokens long")
+    return map_arrow(documents.select(F.col("doc_id").cast("long"), "text"), _counter(path), "doc_id long, n_tokens long")

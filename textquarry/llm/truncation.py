@@ -1,14 +1,20 @@
 """Texts cut off by field limits.
 
 Method: a corpus vocabulary and its trie of proper prefixes flag a text whose last token is an unknown
-proper prefix of known words. Texts cut between words are found by corpus statistics of sentence ends:
-for every word in its frame (first two words of the sentence, place among its first words, preceding word,
-word) it is counted how often a complete sentence ends there and how often it goes on. Length evidence (an unusual heap of open
-endings at one length of a source) decides where these statistics leave both readings possible, and
-else how often the source plainly cuts or plainly leaves out the full stop.
+proper prefix of known words. Length evidence goes with it: for each source, open endings that heap up at
+one length (in characters, bytes, words, or words and signs) beyond what chance leaves beside it betray a
+field limit, and a text that ends openly at such a length was cut there.
+
+A cut between words that lies at no limit (a transfer broken off) shows neither. For these rows the trie
+is continued from the letters of a word to the words of a sentence: for every word in its frame (first two
+words of the sentence, place among its first words, preceding word, word) it is counted how often a
+complete sentence ends there and how often it goes on. Where these counts leave both readings possible,
+it decides how often the source plainly cuts or plainly leaves out the full stop. The column `evidence`
+names what decided about each row; cut_evidence reports the shares per source.
 
 The trie is kept as a table of its nodes (prefix, number of words below) and probed by a join, so it may
-outgrow any single machine. Counts are made over all texts, pre-aggregated per input partition.
+outgrow any single machine. Counts are made over all texts, pre-aggregated per input partition. What a
+word or an ending must reach to be known is a share of the corpus, so it holds at any size.
 
 Defined results: null, blank and placeholder texts, and texts that are one <...> error, are never cases;
 repeated rows are judged alike, each in its own right; an empty table gives an empty result; columns
@@ -26,14 +32,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.session import materialise
+from textquarry.session import map_arrow, materialise
 
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.?!…]+|\n+|:")
 END, BREAK, FIRST = 1, 2, 4
 BULLET = re.compile(r"\s*(?:[-*•]|\d+[.)])\s+")
 CLOSERS = ")]}\"”’»'*_`"
 MASK = np.uint64(0x9E3779B97F4A7C15)
-UNITS = ("chars", "words")
+SIGN = re.compile(r"\w+|[^\w\s]")
+UNITS = ("chars", "bytes", "words", "signs")
+#: Up to so many words, lengths are those of short answers and tell nothing of limits.
+SHORT = 8
 
 
 class Lexicon:
@@ -142,8 +151,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-TAILS = "corpus string, rec_id long, source string, kind string, last string, framed long, whole long, full long, n_chars int, n_words int"
-_TAILS_ARROW = pa.schema([("corpus", pa.string()), ("rec_id", pa.int64()), ("source", pa.string()), ("kind", pa.string()), ("last", pa.string()), ("framed", pa.int64()), ("whole", pa.int64()), ("full", pa.int64()), ("n_chars", pa.int32()), ("n_words", pa.int32())])
+TAILS = "corpus string, rec_id long, source string, kind string, last string, framed long, whole long, full long, n_chars int, n_bytes int, n_words int, n_signs int"
+_TAILS_ARROW = pa.schema([("corpus", pa.string()), ("rec_id", pa.int64()), ("source", pa.string()), ("kind", pa.string()), ("last", pa.string()), ("framed", pa.int64()), ("whole", pa.int64()), ("full", pa.int64()), *((f"n_{u}", pa.int32()) for u in UNITS)])
 
 
 def ending(text: str | None) -> tuple[str, str]:
@@ -188,7 +197,7 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep.append(i)
                 kinds.append(kind)
                 bodies.append(body)
-                lengths.append((len(t), len(t.split())))
+                lengths.append((len(t), len(t.encode("utf-8", "replace")), len(t.split()), len(SIGN.findall(t))))
         if not keep:
             continue
         parts = []
@@ -207,69 +216,69 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole[o] = xxhash.xxh64_intdigest(" ".join(ws)) - (1 << 63)
         full = [xxhash.xxh64_intdigest(" ".join(b.lower().split())) - (1 << 63) for b in bodies]
         yield pa.record_batch(
-            [pa.array([corpus[i] for i in keep], pa.string()), pa.array([ids[i] for i in keep], pa.int64()), pa.array([source[i] for i in keep], pa.string()), pa.array(kinds, pa.string()), pa.array(last, pa.string()), pa.array(key, pa.int64()), pa.array(whole, pa.int64()), pa.array(full, pa.int64()), pa.array([x[0] for x in lengths], pa.int32()), pa.array([x[1] for x in lengths], pa.int32())],
+            [pa.array([corpus[i] for i in keep], pa.string()), pa.array([ids[i] for i in keep], pa.int64()), pa.array([source[i] for i in keep], pa.string()), pa.array(kinds, pa.string()), pa.array(last, pa.string()), pa.array(key, pa.int64()), pa.array(whole, pa.int64()), pa.array(full, pa.int64()), *(pa.array(x, pa.int32()) for x in zip(*lengths, strict=True))],
             schema=_TAILS_ARROW,
         )
 
 
-def judged(
-    texts: DataFrame, *, min_known: int = 3, low: float = 0.02, few: int = 5, chance: float = 0.002, heap: int = 10, heap_ratio: float = 5.0
-) -> DataFrame:
-    """Every text without a plain stop, with its evidence and the column is_cut.
-
-    texts: corpus STRING, rec_id BIGINT, source STRING, text STRING. min_known: how often a word must
-    occur to be known. low: the share of sentence ends at a frame below which a text that ends there is
-    cut. few: in how many different texts a whole last sentence must recur as an ending to count as a way
-    to end (copies of one text are one), and at least five times as often as cuts at random would leave
-    it, which befall a word with the probability `chance`; and how many rows must give a short answer (of
-    up to four words, or eight in a frame never seen) for it to count as whole, unless it has two words or
-    more and the last is unknown or such sentences plainly go on. heap,
-    heap_ratio: different open endings at one length of a source, at least and as a multiple of those
-    around it, to count as a field limit.
+def judged(texts: DataFrame, *, rare: float = 1e-6, low: float = 0.02, share: float = 1e-4, chance: float = 0.002, sigmas: float = 6.0, excess: float = 5.0) -> DataFrame:
+    """Every text without a plain stop, with the columns is_cut and evidence and what they rest on.
+
+    texts: corpus STRING, rec_id BIGINT, source STRING, text STRING. rare: the share of all running words
+    that a word must reach to be known (and it must recur). low: the share of sentence ends at a frame
+    below which a text that ends there is cut. share: in which part of the different open endings a whole
+    last sentence must recur to count as a way to end (copies of one text are one, those at a limit none),
+    and at least five times as often as cuts at random would leave it, which befall a word with the
+    probability `chance`; and in which part of the rows a short answer (of up to four words, or eight in a
+    frame never seen) must recur to count as whole, unless it has two words or more and the last is
+    unknown or such sentences plainly go on. sigmas, excess: how far the different open endings at one
+    length of a source must lie above those around it, in deviations and as a multiple, for a limit.
     """
-    counts = texts.select("text").mapInArrow(_count, STATS).groupBy("key", "word").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    counts = map_arrow(texts.select("text"), _count, STATS).groupBy("key", "word").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
     counts = materialise(counts, "frames")
     frames = counts.where("key is not null").select("key", "ends", "goes_on")
-    vocabulary = counts.where("word is not null").select("word", F.col("goes_on").alias("n")).where(F.col("n") >= min_known)
+    running = counts.where("word is not null").agg(F.sum("goes_on")).first()[0] or 0
+    vocabulary = counts.where("word is not null").select("word", F.col("goes_on").alias("n")).where(F.col("n") >= max(2.0, rare * running))
     trie = (
         vocabulary.where(F.length("word") > 1)
         .select(F.explode(F.expr("transform(sequence(1, length(word) - 1), k -> left(word, k))")).alias("last"))
         .groupBy("last")
         .agg(F.count("*").alias("words_below"))
     )
-    tails = materialise(texts.select("corpus", "rec_id", "source", "text").mapInArrow(_tails, TAILS), "tails")
-    texts_of = tails.where("whole is not null").groupBy("whole", "full").agg(F.count("*").alias("rows"))
-    wholes = texts_of.groupBy("whole").agg(F.count("*").alias("recurs"), F.sum("rows").alias("copies"))
+    tails = materialise(map_arrow(texts.select("corpus", "rec_id", "source", "text"), _tails, TAILS).withColumn("source_key", F.coalesce("source", F.lit("\0"))), "tails")
+    worded = tails.where("last is not null")
+    few = max(3.0, share * worded.count())
+    out = worded
+    for unit in UNITS:
+        out = out.join(_heaps(worded, unit, sigmas, excess), ["corpus", "source_key", f"n_{unit}"], "left")
+    at_limit = F.coalesce(*(F.col(f"limit_{u}") for u in UNITS), F.lit(False)) & (F.col("n_words") > SHORT)
+    out = out.withColumn("at_limit", at_limit).drop(*(f"limit_{u}" for u in UNITS))
+    texts_of = out.groupBy("whole", "full").agg(F.count("*").alias("rows"), F.count_if(~F.col("at_limit")).alias("free"))
+    wholes = texts_of.groupBy("whole").agg(F.count_if(F.col("free") > 0).alias("recurs"), F.sum("rows").alias("copies"))
     out = (
-        tails.join(frames.withColumnRenamed("key", "framed"), "framed", "left")
+        out.join(frames.withColumnRenamed("key", "framed"), "framed", "left")
         .join(vocabulary.withColumnRenamed("word", "last"), "last", "left")
         .join(trie, "last", "left")
         .join(wholes, "whole", "left")
     )
-    out = out.withColumn("source_key", F.coalesce("source", F.lit("\0")))
-    for unit in UNITS:
-        out = out.join(_heaps(tails, unit, heap, heap_ratio), ["corpus", "source_key", f"n_{unit}"], "left")
-    out = out.withColumn("clear", _clear(low, few, chance))
+    out = out.withColumn("p", _end_share(few)).withColumn("_clear", _clear(low, few, chance)).withColumns({"clear": F.col("_clear.cut"), "evidence": F.coalesce("_clear.by", F.lit("habit"))}).drop("_clear")
     habits = out.groupBy("corpus", "source_key").agg(F.count(F.when(F.col("clear"), 1)).alias("clear_cut"), F.count(F.when(~F.col("clear"), 1)).alias("clear_whole"))
     odds = ((F.col("clear_cut") + 1) / (F.col("clear_whole") + 1)) * ((1 - F.col("p")) / F.col("p"))
-    return (
-        out.withColumn("p", _end_share(few))
-        .join(habits, ["corpus", "source_key"])
-        .withColumn("is_cut", F.coalesce("clear", odds > 1, F.lit(False)))
-        .drop("source_key")
-    )
+    out = out.join(habits, ["corpus", "source_key"]).withColumn("is_cut", F.coalesce("clear", odds > 1, F.lit(False))).drop("source_key")
+    bare = tails.where("last is null").drop("source_key").withColumns({"is_cut": F.col("kind").isin("broken", "open"), "evidence": F.lit("mark")})
+    return out.unionByName(bare, allowMissingColumns=True)
 
 
-def _heaps(tails: DataFrame, unit: str, heap: int, ratio: float) -> DataFrame:
+def _heaps(tails: DataFrame, unit: str, sigmas: float, excess: float) -> DataFrame:
     """The lengths of each source at which open endings heap up."""
     n = F.col(f"n_{unit}")
-    w = Window.partitionBy("corpus", "source_key").orderBy(n).rangeBetween(-20, 20)
+    w = Window.partitionBy("corpus", "source_key").orderBy(n)
+    beside = (F.sum("here").over(w.rangeBetween(-24, 24)) - F.sum("here").over(w.rangeBetween(-4, 4))) / 40
     return (
-        tails.withColumn("source_key", F.coalesce("source", F.lit("\0")))
-        .groupBy("corpus", "source_key", n)
-        .agg(F.countDistinct("whole").alias("here"))
-        .withColumn("around", (F.sum("here").over(w) - F.col("here")) / 40)
-        .where((F.col("here") >= heap) & (F.col("here") >= ratio * F.greatest("around", F.lit(1.0))))
+        tails.groupBy("corpus", "source_key", n)
+        .agg(F.countDistinct("full").alias("here"))
+        .withColumn("around", F.greatest(beside, F.lit(0.5)))
+        .where((F.col("here") > F.col("around") + sigmas * F.sqrt("around")) & (F.col("here") >= excess * F.col("around")))
         .select("corpus", "source_key", n, F.lit(True).alias(f"limit_{unit}"))
     )
 
@@ -278,31 +287,31 @@ def _zero(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0))
 
 
-def _end_share(few: int) -> Column:
+def _end_share(few: float) -> Column:
     """The share of sentence ends among what follows the last frame; null where it was never seen."""
     ends = _zero("ends") + F.when(_zero("recurs") >= few, _zero("recurs")).otherwise(0)
     return F.try_divide(ends, ends + _zero("goes_on"))
 
 
-def _clear(low: float, few: int, chance: float) -> Column:
-    """True for a plain cut, false for a plain end, null where the source's habits must decide."""
-    p = _end_share(few)
+def _clear(low: float, few: float, chance: float) -> Column:
+    """Whether a text is plainly cut or plainly whole, and by which evidence; null where the source's
+    habits must decide."""
+    p = F.col("p")
     unknown = F.col("n").isNull() & (_zero("words_below") > 0)
     many = _zero("copies") >= few
-    at_limit = F.coalesce(F.col("limit_chars"), F.lit(False)) | F.coalesce(F.col("limit_words"), F.lit(False))
+    by = lambda cut, name: F.struct((F.lit(cut) if isinstance(cut, bool) else cut).alias("cut"), F.lit(name).alias("by"))
     return (
-        F.when(F.col("kind").isin("broken", "open"), True)
-        .when(F.col("last").isNull(), False)
-        .when(F.col("kind") == "closed", (_zero("ends") == 0) & (_zero("goes_on") >= 20))
-        .when(many & (F.col("n_words") == 1) & (_zero("copies") >= 5 * chance * _zero("goes_on")), False)  # one word has no frame to tell
-        .when(unknown, True)
-        .when(many & (F.col("n_words") <= F.when(p.isNull(), 8).otherwise(4)) & ~F.coalesce(p < low, F.lit(False)), False)  # a short answer that many give
-        .when(F.col("kind") == "list", False)
-        .when((_zero("recurs") >= few) & (_zero("recurs") >= 5 * chance * _zero("goes_on")), False)
-        .when(p < low, True)
-        .when(p >= 0.9, False)
-        .when(at_limit, True)
-        .when(p.isNull(), _zero("words_below") > 0)
+        F.when(F.col("kind").isin("broken", "open"), by(True, "mark"))
+        .when(F.col("kind") == "closed", by((_zero("ends") == 0) & (_zero("goes_on") >= 20), "sentence"))
+        .when(many & (F.col("n_words") == 1) & (_zero("copies") >= 5 * chance * _zero("goes_on")), by(False, "answer"))  # one word has no frame to tell
+        .when(unknown, by(True, "prefix"))
+        .when(many & (F.col("n_words") <= F.when(p.isNull(), SHORT).otherwise(4)) & ~F.coalesce(p < low, F.lit(False)), by(False, "answer"))  # a short answer that many give
+        .when(F.col("kind") == "list", by(False, "list"))
+        .when((_zero("recurs") >= few) & (_zero("recurs") >= 5 * chance * _zero("goes_on")), by(False, "ending"))
+        .when(F.col("at_limit") & ~F.coalesce(p >= 0.9, F.lit(False)), by(True, "length"))
+        .when(p < low, by(True, "sentence"))
+        .when(p >= 0.9, by(False, "sentence"))
+        .when(p.isNull(), by(_zero("words_below") > 0, "prefix"))
     )
 
 
@@ -311,6 +320,12 @@ def cut_texts(texts: DataFrame, **options: float) -> DataFrame:
     return judged(texts, **options).where("is_cut").select("corpus", "rec_id", "source")
 
 
+def cut_evidence(texts: DataFrame, **options: float) -> DataFrame:
+    """Of the cut rows of each source of each corpus: how many were decided by which evidence (mark,
+    prefix, length, sentence, habit)."""
+    return judged(texts, **options).where("is_cut").groupBy("corpus", "source", "evidence").agg(F.count("*").alias("n_cut"))
+
+
 def cut_rates(texts: DataFrame, **options: float) -> DataFrame:
     """How often each source of each corpus cuts: rows with content, cut rows and their share. Rows
     without a source come out under a null source."""
