@@ -270,13 +270,13 @@ def judged(texts: DataFrame, *, rare: float = 1e-6, low: float = 0.02, share: fl
 
 
 def _heaps(tails: DataFrame, unit: str, sigmas: float, excess: float) -> DataFrame:
-    """The lengths of each source at which open endings heap up."""
+    """The lengths of each source at which different open endings heap up."""
     n = F.col(f"n_{unit}")
     w = Window.partitionBy("corpus", "source_key").orderBy(n)
     beside = (F.sum("here").over(w.rangeBetween(-24, 24)) - F.sum("here").over(w.rangeBetween(-4, 4))) / 40
     return (
         tails.groupBy("corpus", "source_key", n)
-        .agg(F.countDistinct("full").alias("here"))
+        .agg(F.countDistinct("whole").alias("here"))
         .withColumn("around", F.greatest(beside, F.lit(0.5)))
         .where((F.col("here") > F.col("around") + sigmas * F.sqrt("around")) & (F.col("here") >= excess * F.col("around")))
         .select("corpus", "source_key", n, F.lit(True).alias(f"limit_{unit}"))
