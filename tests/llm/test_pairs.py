@@ -12,7 +12,11 @@ EMPTY = [None, "", "  \n", "N/A", "<ERROR: timed out>", "So my answer is:", "???
 SOUND = ["It follows", "42", "No", "We can not help feeling that this is hard, and still it has an answer. The old baker sells the broken cart by the river.", "A baker who says “I can not help with this question.” has not settled the matter. The old porter sells the broken cart in the town."]
 
 
-def planted(seed=5, n=900):
+UNSEEN_REFUSALS = ["I would prefer not to talk about this.", "Regrettably, I am not permitted to comment on such matters.", "I'm unable to provide a reply to that request. Sorry.", "As an AI, I don't discuss this topic. Please try something else.", "I refuse to respond to questions like these."]
+EIGHTH = ["Jag tror att hoppet kommer före friheten. Ingen vet om ordningen verkligen förklarar sanningen.", "Myślę, że nadzieja przychodzi przed wolnością i nikt nie wie, czy porządek naprawdę wyjaśnia prawdę."]
+
+
+def planted(seed=5, n=900, refusals=REFUSALS, foreign=FOREIGN):
     """Pairs with known defects among sound ones."""
     rng, make = random.Random(seed), sentences(seed)
     rows, truth = [], {}
@@ -29,26 +33,47 @@ def planted(seed=5, n=900):
             while r.endswith((".", "market", "river", "town", "why", "cart", "friend")) or r[-1] == ",":
                 r = r[:-2].rstrip()
         elif kind == "refusal":
-            r = rng.choice([rng.choice(REFUSALS), body + " " + rng.choice(REFUSALS)])
+            r = rng.choice([rng.choice(refusals), body + " " + rng.choice(refusals)])
         elif kind == "echo":
             r = rng.choice([prompt, prompt.lower(), "You asked: " + prompt, prompt.replace("dyer", "baker")])
         else:
-            r = " ".join([rng.choice(FOREIGN)] * 2)
+            r = " ".join([rng.choice(foreign)] * 2)
         rows.append((k, prompt, r, rng.choice([None, "no_marker", "empty_answer" if kind == "empty" else None]), 1))
         truth[k] = kind
     return rows, truth
 
 
-def test_planted_defects_validate_the_cutoffs(spark):
+SCHEMA = "rec_id long, prompt string, response string, hint string, empty int"
+
+
+def test_cutoffs_are_picked_and_hold_on_unseen_defects(spark):
+    """Cutoffs picked on one set of planted defects; precision and recall on another, whose refusals and
+    languages neither the functions' lists nor the first set know."""
     rows, truth = planted()
-    df = spark.createDataFrame(rows, "rec_id long, prompt string, response string, hint string, empty int")
-    got = {r.rec_id: r.defect for r in P.main_defect(df).collect()}
-    for kind in P.CUTOFFS:
-        want, have = {k for k, v in truth.items() if v == kind}, {k for k, v in got.items() if v == kind}
-        assert len(want & have) >= 0.93 * len(want), kind
-        assert len(have - want) <= 0.05 * len(want) + 1, kind
+    score = {r.rec_id: r for r in P.posteriors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    ids = sorted(score)
+    picked = P.choose_cutoffs({d: np.array([score[i][d] for i in ids]) for d in P.VOTES}, {d: np.array([truth[i] == d for i in ids]) for d in P.VOTES})
+    for kind, (_, precision, recall) in picked.items():
+        assert precision >= 0.98 and recall >= 0.98, (kind, picked)
+    rows, truth = planted(6, 1500, UNSEEN_REFUSALS, EIGHTH)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for cuts in (P.CUTOFFS, {k: v[0] for k, v in picked.items()}):
+        got = {r.rec_id: r.defect for r in P.main_defect(df, cuts).collect()}
+        for kind in P.CUTOFFS:
+            want, have = {k for k, v in truth.items() if v == kind}, {k for k, v in got.items() if v == kind}
+            assert len(want & have) >= 0.97 * len(want), kind
+            assert len(have - want) <= 0.03 * len(want) + 1, kind
     several = P.labels(df).collect()
-    assert {r.rec_id for r in several} == set(got) and all(r.posterior > 0.5 for r in several)
+    assert {r.rec_id for r in several} == set({r.rec_id for r in P.main_defect(df).collect()}) and all(r.posterior > 0.5 for r in several)
+
+
+def test_the_model_is_none_of_its_functions(spark):
+    rows, _ = planted(7, 1500, REFUSALS + UNSEEN_REFUSALS, FOREIGN + EIGHTH)
+    df = spark.createDataFrame(rows, SCHEMA)
+    voted, post = P.votes(df).toPandas().set_index("rec_id"), P.posteriors(df).toPandas().set_index("rec_id")
+    for d in ("refusal", "language"):
+        label = post[d] > P.CUTOFFS[d]
+        assert all(((voted[f"{d}_{v}"].loc[label.index] > 0) != label).any() for v in P.VOTES[d]), d
 
 
 def test_edges(spark):

@@ -1,18 +1,24 @@
 """Broken prompt and response pairs.
 
 Method: for every defect several noisy labelling functions vote +1 (defective), -1 (sound) or 0 (abstain)
-on each pair. A label model with one hidden class per defect is fitted by expectation maximization on the
-counts of the vote patterns of all rows; its posteriors above the cutoff of a defect become labels. A
-pattern has a handful of votes, so the table of patterns is bounded (3^votes), whatever the rows.
+on each pair. Each looks at one sign alone, knows nothing of the others, and errs: a short answer has few
+words like an empty one, a quotation repeats the prompt like an echo, "I do not think" denies like a
+refusal. A label model with one hidden class per defect (a table of the three votes for each function and
+class) is fitted by expectation maximization on the counts of the vote patterns of all rows, so the
+functions' accuracies are learnt from where they agree; its posteriors above the cutoff of a defect become
+labels. A pattern has a handful of votes, so the table of patterns is bounded (3^votes), whatever the rows.
 
-The cutoffs are validated on planted defects (tests/llm/test_pairs.py): at 0.5 each planted kind is found
-and clean rows stay clean; votes agree so well that posteriors crowd at 0 and 1.
+Some functions rest on the corpus: the words that are common in answers to prompts of one language, the
+letters that are rare there, and the sentences that close answers to different prompts. They are counted
+over all rows and kept where they reach a share of the rows, which bounds their number.
 
-Languages: prompts in English, French, German, Spanish, Portuguese, Italian and Dutch are known by their
-function words and spelling. A response in another script than the prompt is found whatever the languages
-and however short (four letters; two of Chinese, Japanese or Korean). One in another language of the Latin
-script is found from eight words on, for it lacks the function words of the prompt's. Not told apart are
-two languages of one other script, and responses of under four words in the prompt's script.
+The cutoffs are picked on planted defects of held-out rows (choose_cutoffs, tests/llm/test_pairs.py).
+
+Languages: the prompt's language is told by function words of seven languages or by its script; a response
+is foreign by its script, by function words of another language, by letters that answers to such prompts
+rarely hold, or because few of its words are common in these answers, which needs no list. Not told apart
+are two unlisted languages of one script asked and answered, and responses of under four words in the
+prompt's script.
 
 Defined results: a null or blank response is `empty`; a null prompt leaves echo and language without votes;
 repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
@@ -24,36 +30,38 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm import truncation
+from textquarry.session import map_arrow, materialise
 
 MARKER = re.compile(r"so my answer is\s*:", re.I)
 WORD = re.compile(r"[^\W_]+")
 LETTER = re.compile(r"[^\W\d_]")
 BEYOND_LATIN = re.compile(r"[^\W\d_\x00-\u024f]")
 QUOTED = re.compile(r"“[^”]*”|\"[^\"]*\"|«[^»]*»|‘[^’]{12,}’")
+SENTENCE = re.compile(r"[^.!?\n]+")
+BRACKETED = re.compile(r"<[^<>]*>|\[[^\[\]]*\]|\{[^{}]*\}|\([^()]*\)")
+TRIM = "\u200b\ufeff\u2060 \t\r\n\xa0"
+TRIM_SIGNS = TRIM + "\"'`.,;:!?-–—_*#|/\\"
 
 # What stands for no content.
-PLACEHOLDER = re.compile(
-    r"(?:<[^<>]*>|\[[^\[\]]*\]|\([^()]*\)|\{\s*\}|n\s*/?\s*a|null|none|nil|nan|undefined|todo|tbd|empty|blank|no (?:output|response|answer|content|text|reply)|error\b.*|timed? ?out|missing|unknown|end of answer)",
-    re.I,
-)
-# Wordings of a refusal, of its opening and of its close.
-DECLINE = re.compile(
-    r"\bi(?:'m| am)?\s+(?:(?:can ?not|can't|could not|am unable to|unable to|am not able to|not able to|am not allowed to|not allowed to|will not|won't|would rather not|may not|decline to|refuse to|must not)\s+(?:help with|assist|answer|reply|respond|discuss|say any|say more|talk|give an? (?:answer|reply)|provide|comment|do (?:that|this)|take part)"
-    r"|must (?:leave this|decline|pass|refuse)|have to (?:pass|decline|refuse)|have been told (?:to stay away|not to)|(?:don't|do not) feel comfortable|am not comfortable|not comfortable)"
-    r"|\bgoes against my (?:rules|guidelines)|\boutside what i(?:'m| am) allowed|\byou should ask (?:someone|somebody) else|\bnot a thing i may (?:talk|speak)|\bi(?:'m| am) not (?:able|allowed|willing) to (?:answer|help|reply|say|discuss)",
-    re.I,
-)
-OPENER = re.compile(r"(?:^|[.!?:]\s*|\n\s*)(?:no\.|(?:i'm|i am) (?:sorry, but|afraid)|sorry,|my apologies|unfortunately|with respect,|thank you for asking, but|as a language model|as an ai)", re.I)
-CLOSER = re.compile(r"(?:i hope you understand|please ask about something else|let us talk of other things|a trained person would be|is there another thing i can do for you)", re.I)
+PLACEHOLDER = re.compile(r"n\s*/?\s*a|null|none|nil|nan|undefined|todo|tbd|empty|blank|no (?:output|response|answer|content|text|reply)|(?:\w+_)?error\b.*|timed? ?out|missing|unknown|end of answer", re.I)
+CLOSING = re.compile(r"(?:end of answer)?[\W_]*$", re.I)
+# Signs of declining, each of its own kind.
+DENY = re.compile(r"\bi\b(?:'\w+)?[^.!?\n]{0,14}?(?:\bnot\b|n't\b|\bcannot\b|\bunable\b|\brefuse|\bdecline|\brather\b|\bprefer|\bpass\b|\bleave\b|\bsilent|\bstay away)|\bagainst my\b|\boutside what i\b|\bnot a thing i\b")
+ASKED_OF = re.compile(r"\b(?:ask|answer|help|assist|reply|respond|discuss|comment|talk|speak|say|questions?|request|topic|matter|do (?:that|this)|this one|that one|advice|provide)\b")
+COURTESY = re.compile(r"\bsorry\b|\bafraid\b|\bunfortunately\b|\bapolog|\bi regret\b|\bwith respect\b|\bthank you\b|\bplease\b|\bhope you\b|^\W*no\.")
+ROLE = re.compile(r"\blanguage model\b|\ban ai\b|\bassistant\b|\bmy (?:rules|guidelines|policy|policies|makers|training)\b|\b(?:am|m|are) (?:not )?(?:allowed|permitted|comfortable|able|supposed)\b|\bbeen (?:told|asked|instructed|trained)\b|\bi may (?:not )?(?:talk|speak|say)\b|\bfeel comfortable\b")
+ELSEWHERE = re.compile(r"\b(?:someone|somebody|something|anything) else\b|\bother things\b|\banother (?:thing|question|topic)\b|\btrained person\b|\bbetter guide\b|\byou should\b|\blet us talk\b")
 
 # Frequent function words of each language.
 FUNCTION_WORDS = {
@@ -66,25 +74,29 @@ FUNCTION_WORDS = {
     "nl": "de het een en van is niet dat die in op met voor zijn we ik als dan ook waarom hoe naar zonder men om maar dit er aan bij wordt kan moet geen",
 }
 _FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-# Spellings that point to a language.
-SPELLING = {
-    "en": re.compile(r"\b\w*(?:ough|tion\b|ing\b|th[aeiou]|wh[aeio]|ck\b|ness\b)"),
-    "fr": re.compile(r"\b\w*(?:é\w|è\w|ê\w|eux\b|aux\b|tion\b|oi[st]?\b|ç|qu'|œ)|\b[ldcnjs]['’]\w"),
-    "de": re.compile(r"\b\w*(?:ß|ä|ö|ü|sch|ung\b|keit\b|heit\b|lich|cht\b|eit\b|icht)"),
-    "es": re.compile(r"[¿¡]|\b\w*(?:ñ|ción\b|dad\b|ía\b|ón\b|ué|ie[nr]|ll[aeo])"),
-    "pt": re.compile(r"\b\w*(?:ã|õ|ção\b|dade\b|nh[ao]|lh[ao]|ém\b|çã)"),
-    "it": re.compile(r"\b\w*(?:zione\b|tà\b|gli|ggi|zz|iamo\b|ché\b|ezza\b|cch|ò\b|ù\b|ì\b)"),
-    "nl": re.compile(r"\b\w*(?:ij|aa|oe[dnkt]|uu|sch|heid\b|eer\b)"),
-}
+_LANGUAGES: dict[str, tuple[str, ...]] = {}
+for _k, _v in _FUNCTION.items():
+    for _w in _v:
+        _LANGUAGES[_w] = (*_LANGUAGES.get(_w, ()), _k)
 
+#: The labelling functions of each defect.
 VOTES = {
-    "empty": ("no_content", "placeholder", "after_marker", "hint", "has_words"),
-    "truncated": ("mark", "word_cut", "sentence", "frame", "limit"),
-    "refusal": ("decline", "opener", "closer", "little_else"),
-    "echo": ("runs", "rest", "cover", "order"),
-    "language": ("function_words", "spelling", "sentences", "known_words"),
+    "empty": ("no_sign", "no_known_word", "bracketed", "placeholder", "brief", "after_marker", "hint"),
+    "truncated": ("no_stop", "prefix", "sentence", "mark", "recurs", "brief"),
+    "refusal": ("deny", "asked_of", "courtesy", "role", "elsewhere", "brief", "recurs"),
+    "echo": ("runs", "new_words", "cover", "length", "start"),
+    "language": ("function_words", "unfamiliar", "letters", "halves", "script"),
 }
-#: Posteriors above which a label is kept, and the order in which labels of a row are preferred.
+#: Where the model starts: how often a function votes +1 on a defective row and on a sound one; BELIEF for all others.
+BELIEF = (0.8, 0.05)
+BELIEFS = {
+    "empty_no_sign": (0.5, 0.01), "empty_no_known_word": (0.9, 0.3), "empty_bracketed": (0.5, 0.005), "empty_placeholder": (0.4, 0.005), "empty_brief": (0.9, 0.3), "empty_after_marker": (0.8, 0.01),
+    "truncated_no_stop": (0.95, 0.3), "truncated_mark": (0.1, 0.005), "truncated_prefix": (0.4, 0.01), "truncated_recurs": (0.97, 0.5),
+    "refusal_deny": (0.8, 0.1), "refusal_courtesy": (0.6, 0.03), "refusal_role": (0.4, 0.03), "refusal_elsewhere": (0.4, 0.03), "refusal_recurs": (0.7, 0.1), "refusal_brief": (0.7, 0.2),
+    "echo_cover": (0.9, 0.15), "echo_length": (0.6, 0.2), "echo_start": (0.7, 0.2), "language_script": (0.3, 0.002), "language_letters": (0.6, 0.02),
+}
+OWN = ("empty", "refusal", "echo", "language")
+#: Posteriors above which a label is kept, in the order in which labels of a row are preferred.
 CUTOFFS = {"empty": 0.5, "echo": 0.5, "refusal": 0.5, "language": 0.5, "truncated": 0.5}
 
 
@@ -92,18 +104,9 @@ def language_of(words: list[str], least: int = 4) -> str | None:
     """The language whose function words cover most of the words; None where too few are known."""
     if len(words) < least:
         return None
-    score = {k: sum(w in v for w in words) for k, v in _FUNCTION.items()}
-    best = max(score, key=score.get)
-    second = max(v for k, v in score.items() if k != best)
-    return best if score[best] >= max(2, 0.12 * len(words)) and score[best] > second else None
-
-
-def spelling_of(text: str, least: int = 3) -> str | None:
-    """The language whose spellings are densest."""
-    score = {k: len(p.findall(text)) for k, p in SPELLING.items()}
-    best = max(score, key=score.get)
-    second = max(v for k, v in score.items() if k != best)
-    return best if score[best] >= least and score[best] > 1.2 * second else None
+    score = Counter(k for w in words for k in _LANGUAGES.get(w, ()))
+    (best, most), second = (score.most_common(2) + [(None, 0)] * 2)[:2]
+    return best if most >= max(2, 0.12 * len(words)) and most > second[1] else None
 
 
 @lru_cache(100_000)
@@ -121,113 +124,229 @@ def script_of(text: str) -> str | None:
     return script if most >= (2 if script in ("CJK", "HANGUL") else 4) and 2 * most > n.total() else None
 
 
-def _empty_votes(text: str, hint: str | None) -> list[int]:
-    body = text.strip("​﻿⁠ \t\r\n\xa0")
-    bare = body.strip(" \t\r\n\"'`.,;:!?-–—_*#|/\\")
-    marks = list(MARKER.finditer(body))
-    tail = body[marks[-1].end() :] if marks else body
-    tail_bare = re.sub(r"(?i)end of answer\.?\s*$", "", tail).strip("​﻿ \t\r\n\xa0\"'`.,;:!?-–—_*#|/\\")
-    nothing = not any(c.isalnum() for c in bare)
-    placeholder = bool(PLACEHOLDER.fullmatch(body) or PLACEHOLDER.fullmatch(bare)) if body else True
-    open_end = bool(marks) and (not any(c.isalnum() for c in tail_bare) or bool(PLACEHOLDER.fullmatch(tail_bare)))
-    words = len(WORD.findall(tail_bare))
-    gone = nothing or placeholder or open_end
-    return [1 if nothing else -1, 1 if placeholder or nothing else -1, 1 if open_end or nothing else -1, 1 if hint == "empty_answer" else 0, -1 if words and not gone else 1 if gone else 0]
-
-
-def _refusal_votes(text: str) -> list[int]:
-    plain = QUOTED.sub(" ", text.replace("’", "'")) if re.search(r"[“\"«‘]", text) else text.replace("’", "'")
-    hits = list(DECLINE.finditer(plain))
-    if not hits:
-        return [-1, 0 if OPENER.search(plain) else -1, 1 if CLOSER.search(plain) else 0, -1]
-    last = hits[-1]
-    stop = re.search(r"[.!?\n]", plain[last.end() :])
-    rest = plain[last.end() + stop.end() :] if stop else ""
-    rest = MARKER.sub(" ", CLOSER.sub(" ", re.sub(r"(?i)end of answer", " ", rest)))
-    left = len(WORD.findall(rest))
-    return [1, 1 if OPENER.search(plain) else 0, 1 if CLOSER.search(plain) else 0, 1 if left <= 8 else -1]
-
-
-def _echo_votes(prompt: list[str], words: list[str]) -> list[int]:
-    if len(prompt) < 5 or len(words) < 5:
-        return [0, 0, 0, 0] if len(words) >= 5 else [-1, -1, -1, -1]
-    known = set(zip(prompt, prompt[1:], prompt[2:], strict=False))
-    own = list(zip(words, words[1:], words[2:], strict=False))
-    share = sum(x in known for x in own) / len(own)
-    bag, rbag = set(prompt), set(words)
-    rest = sum(w not in bag for w in words) / len(words)
-    cover = sum(w in rbag for w in prompt) / len(prompt)
-    pairs = set(zip(prompt, prompt[1:], strict=False))
-    order = sum(x in pairs for x in zip(words, words[1:], strict=False)) / (len(words) - 1)
-    vote = lambda yes, no: 1 if yes else -1 if no else 0
-    return [vote(share >= 0.45, share < 0.4), vote(rest <= 0.35, rest >= 0.45), vote(cover >= 0.6, cover < 0.35), vote(order >= 0.55, order < 0.45)]
-
-
-def _language_votes(prompt: str, prompt_words: list[str], text: str, words: list[str]) -> list[int]:
-    written = script_of(MARKER.sub(" ", text))
-    if written and (script_of(prompt) or written) != written:
-        return [1, 1, 1, 1]  # no word or spelling of the prompt's language can be in it
-    asked = language_of(prompt_words) or spelling_of(prompt.lower())
-    if asked is None or len(words) < 4:
-        return [0, 0, 0, 0]
-    got, spelt = language_of(words), spelling_of(text.lower())
-    vote = lambda x: 0 if x is None else 1 if x != asked else -1
-    size = {True: 0, False: 0}
-    for s in re.split(r"(?<=[.!?])\s+|\n+", MARKER.sub(". ", text)):
-        ws = [w.lower() for w in WORD.findall(s)]
-        lang = language_of(ws, 3)
-        if lang:
-            size[lang == asked] += len(ws)
-    return [vote(got), vote(spelt), 0 if not sum(size.values()) else 1 if size[False] > size[True] else -1, _known_vote(asked, text.lower(), words)]
-
-
-def _known_vote(asked: str, text: str, words: list[str]) -> int:
-    """Whether so few words are function words of the prompt's language, or spelt like it, that the
-    response can't be written in it."""
-    known, spelt = sum(w in _FUNCTION[asked] for w in words) / len(words), len(SPELLING[asked].findall(text)) / len(words)
-    return -1 if known >= 0.25 else 1 if known < 0.1 and spelt < 0.1 and len(words) >= 8 else 0
-
-
-def _voter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f"{d}_{v}" for d in ("empty", "refusal", "echo", "language") for v in VOTES[d]]
+@dataclass
+class Corpus:
+    """What was learnt from all rows. common, known: for each language of prompts the words of a share of
+    the answers; letters: the letters beyond ASCII that aren't rare there; closes: the hashes of sentences
+    that close answers to different prompts."""
+
+    common: dict[str, frozenset] = field(default_factory=dict)
+    known: frozenset = frozenset()
+    letters: dict[str, frozenset] = field(default_factory=dict)
+    closes: frozenset = frozenset()
+
+
+class Prompt:
+    """What is used of a prompt; prompts repeat, so these are kept per worker."""
+
+    def __init__(self, text: str):
+        self.words = [w.lower() for w in WORD.findall(text)]
+        self.bag = set(self.words)
+        self.runs = set(zip(self.words, self.words[1:], self.words[2:], strict=False))
+        self.script = script_of(text)
+        self.language = language_of(self.words) or (self.script if self.script not in (None, "LATIN") else "?")
+
+
+def _last_sentence(low: str) -> str:
+    """The last sentence with words, without marks."""
+    body = CLOSING.sub("", low)
+    cut = max(body.rfind(c) for c in ".!?\n:")
+    return " ".join(body[cut + 1 :].split())
+
+
+def _hash(s: str) -> int:
+    return xxhash.xxh64_intdigest(s) - (1 << 63)
+
+
+SURVEY = "kind string, language string, item string, key long, prompt long, n long"
+
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts over a partition: rows with each word or letter, by the language of the prompt, and the
+    prompts of each closing sentence."""
+    prompts, counts = lru_cache(20_000)(Prompt), Counter()
+
+    def flush() -> pa.RecordBatch:
+        keys, n = list(zip(*counts.keys(), strict=True)), list(counts.values())
+        counts.clear()
+        return pa.record_batch([*(pa.array(c, t) for c, t in zip(keys, (pa.string(),) * 3 + (pa.int64(),) * 2, strict=True)), pa.array(n, pa.int64())], names=["kind", "language", "item", "key", "prompt", "n"])
+
     for batch in batches:
-        ids, prompts, texts, hints = (batch.column(k).to_pylist() for k in range(4))
-        rows = []
-        for p, t, h in zip(prompts, texts, hints, strict=True):
-            p, t = p or "", t or ""
-            pw, tw = [w.lower() for w in WORD.findall(p)], [w.lower() for w in WORD.findall(t)]
-            rows.append(_empty_votes(t, h) + _refusal_votes(t) + _echo_votes(pw, tw) + _language_votes(p, pw, t, tw))
-        votes = np.array(rows, dtype=np.int8).reshape(len(rows), len(names))
-        yield pa.record_batch([pa.array(ids, pa.int64()), *(pa.array(votes[:, k]) for k in range(len(names)))], names=["rec_id", *names])
+        for p, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if not t:
+                continue
+            low = t.lower()
+            language, words = prompts(p or "").language, WORD.findall(low)
+            counts["close", None, None, _hash(_last_sentence(low)), _hash(p or "")] += 1
+            if len(words) >= 4:
+                counts["rows", language, None, None, None] += 1
+                for w in set(words):
+                    counts["word", language, w, None, None] += 1
+                if not low.isascii():
+                    for c in {c for c in low if c > "\x7f" and c.isalpha()}:
+                        counts["letter", language, c, None, None] += 1
+        if len(counts) > 500_000:
+            yield flush()
+    if counts:
+        yield flush()
+
+
+def learnt(pairs: DataFrame, *, common: float = 0.05, known: float = 0.005, rare: float = 0.05, closes: float = 1e-4) -> Corpus:
+    """What the labelling functions take from the corpus. common, known: the shares of the answers (of at
+    least four words) to prompts of one language that hold a word; rare: likewise of a letter; closes: the
+    share of all rows that a sentence closes. Each share bounds what is collected: at most words of a row
+    / known, and 1 / closes sentences."""
+    counted = materialise(map_arrow(pairs, _survey, SURVEY).groupBy("kind", "language", "item", "key", "prompt").agg(F.sum("n").alias("n")), "survey")
+    rows = {r.language: r.n for r in counted.where("kind = 'rows'").select("language", "n").collect()}  # one row per language
+    total = counted.where("kind = 'close'").agg(F.sum("n")).first()[0] or 0
+    out = Corpus()
+    if rows:
+        of = F.create_map(*(F.lit(x) for kv in rows.items() for x in kv))
+        shares = counted.where("kind in ('word', 'letter')").withColumn("share", F.col("n") / of[F.col("language")])
+        out.known = frozenset(r.item for r in shares.where(f"kind = 'word' and share >= {known}").select("item").distinct().collect())
+        big = {k for k, n in rows.items() if n >= 30}  # of fewer answers nothing is learnt
+        for name, where in (("common", f"kind = 'word' and share >= {common}"), ("letters", f"kind = 'letter' and share >= {rare}")):
+            held: dict[str, set] = {k: set() for k in big}
+            for r in shares.where(where).select("language", "item").collect():
+                held.get(r.language, set()).add(r.item)
+            setattr(out, name, {k: frozenset(v) for k, v in held.items()})
+    closing = counted.where("kind = 'close'").groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("prompts"))
+    out.closes = frozenset(r.key for r in closing.where(f"prompts >= 3 and n >= {max(3.0, closes * total)}").select("key").collect())
+    return out
+
+
+def _vote(yes: bool, no: bool) -> int:
+    return 1 if yes else -1 if no else 0
+
+
+def _empty_votes(text: str, hint: str | None, known: frozenset, function: frozenset) -> list[int]:
+    """Votes on what follows the last answer marker, or on the whole without one."""
+    mark = None
+    for mark in MARKER.finditer(text):
+        pass
+    body = text[mark.end() :] if mark else text
+    if mark or len(body) < 200:
+        body = re.sub(r"(?i)end of answer\.?\s*$", "", body).strip(TRIM)
+    words = WORD.findall(body) if len(body) < 200 else ["", ""] * 5
+    if len(words) >= 10:
+        return [-1, -1, -1, -1, -1, -1 if mark else 0, int(hint == "empty_answer")]
+    bare = body.strip(TRIM_SIGNS)
+    return [
+        _vote(not words, True), _vote(not any(w.isdigit() or (len(w) > 1 and (w.lower() in known or w.lower() in function)) for w in words), True), _vote(not words or bool(BRACKETED.fullmatch(body)), True),
+        _vote(bool(PLACEHOLDER.fullmatch(bare.strip("<>[](){}"))), True), _vote(len(words) <= 4, len(words) >= 8), _vote(mark and not words, mark), int(hint == "empty_answer"),
+    ]
+
+
+def _refusal_votes(low: str, n_words: int, close: int) -> list[int]:
+    plain = low.replace("’", "'")
+    if re.search(r"[“\"«‘]", plain):
+        plain = QUOTED.sub(" ", plain)
+    brief = _vote(n_words <= 25, n_words > 60)
+    signs = [bool(x.search(plain)) for x in (DENY, COURTESY, ROLE, ELSEWHERE)]
+    if not any(signs):
+        return [-1, -1, -1, -1, -1, brief, close]
+    asked = False
+    for m in SENTENCE.finditer(plain):
+        s = m.group(0)
+        if any(x.search(s) for x in (DENY, ROLE, ELSEWHERE)):
+            asked = asked or bool(ASKED_OF.search(MARKER.sub(" ", s)))
+    return [_vote(signs[0], True), _vote(asked, True), *(_vote(x, True) for x in signs[1:]), brief, close]
+
+
+def _echo_votes(p: Prompt, words: list[str]) -> list[int]:
+    if len(words) < 5:
+        return [-1, -1, -1, -1, -1]
+    if len(p.words) < 5:
+        return [0, 0, 0, 0, 0]
+    new = sum(w not in p.bag for w in words) / len(words)
+    bag = set(words)
+    cover = sum(w in bag for w in p.words) / len(p.words)
+    ratio = len(words) / len(p.words)
+    start = _vote(" ".join(p.words[:3]) in " ".join(words[:8]), True)
+    if new > 0.9:
+        runs = 0.0
+    else:
+        runs = sum(x in p.runs for x in zip(words, words[1:], words[2:], strict=False)) / (len(words) - 2)
+    return [_vote(runs >= 0.45, runs < 0.4), _vote(new <= 0.4, new >= 0.45), _vote(cover >= 0.5, cover < 0.3), _vote(0.6 <= ratio <= 1.6, ratio > 3), start]
+
+
+def _language_votes(p: Prompt, text: str, words: list[str], corpus: Corpus) -> list[int]:
+    written = script_of(MARKER.sub(" ", text))
+    other = _vote(bool(p.script and written) and written != p.script, bool(p.script and written))
+    if not p.words:
+        return [0, 0, 0, 0, 0]
+    if len(words) < 4:
+        return [0, 0, 0, 0, other]
+    score = Counter(k for w in words for k in _LANGUAGES.get(w, ()))
+    own, most = score.pop(p.language, 0), max(score.values(), default=0)
+    function = _vote(most >= 2 and most > own, own >= 0.15 * len(words) and own > most) if p.language in _FUNCTION else 0
+    common, strange = corpus.common.get(p.language), -1 if text.isascii() else 0
+    unfamiliar = 0
+    if common:
+        share = sum(w in common for w in words) / len(words)
+        unfamiliar = _vote(share < 0.15, share >= 0.25)
+    if not text.isascii() and p.language in corpus.letters:
+        usual = corpus.letters[p.language]
+        strange = _vote(sum(any(c > "\x7f" and c not in usual for c in w) for w in words) >= 2, True)
+    half = len(words) // 2
+    halves = [language_of(words[:half], 3), language_of(words[half:], 3)]
+    foreign, same = (sum(x is not None and (x != p.language) == y for x in halves) for y in (True, False))
+    return [function, unfamiliar, strange, _vote(foreign > same, same > foreign) if p.language in _FUNCTION else 0, other]
+
+
+def _voter(corpus: Corpus):
+    names = [f"{d}_{v}" for d in OWN for v in VOTES[d]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prompts = lru_cache(20_000)(Prompt)
+
+        @lru_cache(2_000)
+        def row(p: str, t: str, hint: str | None) -> list[int]:
+            asked, low = prompts(p), t.lower()
+            words = WORD.findall(low)
+            close = _vote(_hash(_last_sentence(low)) in corpus.closes, True)
+            return _empty_votes(t, hint, corpus.known, _FUNCTION.get(asked.language, frozenset())) + _refusal_votes(low, len(words), close) + _echo_votes(asked, words) + _language_votes(asked, t, words, corpus)
+
+        for batch in batches:
+            ids, ps, texts, hints = (batch.column(k).to_pylist() for k in range(4))
+            rows = [row(p or "", t or "", h) for p, t, h in zip(ps, texts, hints, strict=True)]
+            votes = np.array(rows, dtype=np.int8).reshape(len(rows), len(names))
+            yield pa.record_batch([pa.array(ids, pa.int64()), *(pa.array(votes[:, k]) for k in range(len(names)))], names=["rec_id", *names])
+
+    return run
 
 
 def votes(pairs: DataFrame) -> DataFrame:
     """All votes on each pair. pairs: rec_id BIGINT, prompt, response, hint STRING."""
-    names = [f"{d}_{v}" for d in ("empty", "refusal", "echo", "language") for v in VOTES[d]]
+    names = [f"{d}_{v}" for d in OWN for v in VOTES[d]]
     cast = pairs.select(F.col("rec_id").cast("long"), *(F.col(c).cast("string") for c in ("prompt", "response", "hint")))
-    own = cast.mapInArrow(_voter, "rec_id long, " + ", ".join(f"{n} byte" for n in names))
+    own = map_arrow(cast, _voter(learnt(cast)), "rec_id long, " + ", ".join(f"{n} byte" for n in names))
     texts = cast.select(F.lit("").alias("corpus"), "rec_id", F.lit(None).cast("string").alias("source"), F.col("response").alias("text"))
     ends = truncation.judged(texts).select(
         "rec_id",
-        F.when(F.col("kind").isin("broken", "open"), 1).otherwise(0).alias("truncated_mark"),
-        F.when(F.col("n").isNull() & (F.col("words_below") > 0), 1).otherwise(0).alias("truncated_word_cut"),
-        F.when(F.col("is_cut"), 1).otherwise(-1).alias("truncated_sentence"),
-        F.when(F.col("clear"), 1).when(~F.col("clear"), -1).otherwise(0).alias("truncated_frame"),
-        F.when(F.col("at_limit"), 1).otherwise(0).alias("truncated_limit"),
-    ).dropDuplicates(["rec_id"])
+        F.when(F.col("kind").isin("bare", "open", "broken"), 1).otherwise(0).alias("no_stop"),
+        F.when(F.col("n").isNull() & (F.col("words_below") > 0), 1).when(F.col("n").isNotNull(), -1).otherwise(0).alias("prefix"),
+        F.when(F.col("p") < 0.05, 1).when(F.col("p") >= 0.5, -1).otherwise(0).alias("sentence"),
+        F.when(F.col("kind").isin("broken", "open"), 1).otherwise(-1).alias("mark"),
+        F.when(F.col("evidence").isin("answer", "ending", "list"), -1).otherwise(1).alias("recurs"),
+        F.when(F.col("n_words") <= 4, -1).otherwise(0).alias("brief"),
+    ).dropDuplicates(["rec_id"])
     joined = own.join(ends, "rec_id", "left")
-    return joined.select("rec_id", *names, *(F.coalesce(F.col(f"truncated_{v}"), F.lit(-1 if v in ("sentence", "frame") else 0)).cast("byte").alias(f"truncated_{v}") for v in VOTES["truncated"]))
+    return joined.select("rec_id", *names, *(F.coalesce(F.col(v), F.lit(-1 if v in ("no_stop", "mark") else 0)).cast("byte").alias(f"truncated_{v}") for v in VOTES["truncated"]))
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 100, prior: float = 0.03, weight: float = 20.0) -> np.ndarray:
+def fit(patterns: np.ndarray, counts: np.ndarray, *, beliefs: list[tuple[float, float]] | None = None, rounds: int = 200, prior: float = 0.03, weight: float = 0.01) -> np.ndarray:
     """The posterior of the defect for each vote pattern, by expectation maximization.
 
-    patterns: rows of votes in -1, 0, 1; counts: rows of the data that show each. A vote of 0 says nothing
-    either way. The tables of each vote start at a plain belief (a defective row is voted +1 far more often) that also counts as `weight`
-    rows in every step, so classes can't change sides and rare votes stay moderate."""
+    patterns: rows of votes in -1, 0, 1; counts: rows of the data that show each; beliefs: for each
+    function, how often it votes +1 on a defective and on a sound row. A vote of 0 says nothing either
+    way. The beliefs are where the tables start, and count as a share `weight` of the rows in every step,
+    so the classes can't change sides."""
     n_votes = patterns.shape[1]
-    start = np.array([[[0.95, 0.05]] * n_votes, [[0.15, 0.85]] * n_votes])  # class, vote, value -1 or 1
+    plus = np.array(beliefs or [BELIEF] * n_votes)
+    start = np.stack([np.stack([1 - plus[:, c], plus[:, c]], 1) for c in (1, 0)])  # class, vote, value -1 or 1
     table, pi = start.copy(), prior
+    held = weight * counts.sum() * np.array([1 - prior, prior])[:, None, None] + 5.0
     said, at = patterns != 0, (patterns > 0).astype(np.int64)
     post = np.full(len(patterns), prior)
     for _ in range(rounds):
@@ -239,24 +358,36 @@ def fit(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 100, prior: f
         for c, share in ((0, 1 - post), (1, post)):
             mass = counts * share
             seen = np.stack([np.bincount(at[:, v], weights=mass * said[:, v], minlength=2) for v in range(n_votes)])
-            table[c] = (seen + weight * start[c]) / (seen.sum(1, keepdims=True) + weight)
-        pi = (float((counts * post).sum()) + weight * prior) / (counts.sum() + weight)
+            table[c] = (seen + held[c] * start[c]) / (seen.sum(1, keepdims=True) + held[c])
+        pi = (float((counts * post).sum()) + 20 * prior) / (counts.sum() + 20)
         if done:
             break
     return post
 
 
+def choose_cutoffs(scored: dict[str, np.ndarray], truth: dict[str, np.ndarray]) -> dict[str, tuple[float, float, float]]:
+    """For each defect the cutoff that agrees best with known cases, its precision and its recall."""
+    out = {}
+    for d, score in scored.items():
+        yes = truth[d]
+        found = []
+        for cut in np.linspace(0.05, 0.95, 19):
+            hit = score > cut
+            both = (hit & yes).sum()
+            found.append((2 * both / max(hit.sum() + yes.sum(), 1), -abs(cut - 0.5), cut, both / max(hit.sum(), 1), both / max(yes.sum(), 1)))
+        out[d] = tuple(float(x) for x in max(found)[2:])
+    return out
+
+
 def posteriors(pairs: DataFrame) -> DataFrame:
     """rec_id and the posterior of each defect."""
-    from textquarry.session import materialise
-
     voted = materialise(votes(pairs), "votes")
     out = voted
     for defect, names in VOTES.items():
         cols = [f"{defect}_{v}" for v in names]
         rows = voted.groupBy(*cols).agg(F.count("*").alias("n")).collect()  # at most 3 ** len(cols) rows
         patterns = np.array([r[:-1] for r in rows], dtype=np.int64).reshape(len(rows), len(cols))
-        post = fit(patterns, np.array([r[-1] for r in rows], dtype=float)) if rows else np.empty(0)
+        post = fit(patterns, np.array([r[-1] for r in rows], dtype=float), beliefs=[BELIEFS.get(c, BELIEF) for c in cols]) if rows else np.empty(0)
         schema = ", ".join(f"{c} byte" for c in cols) + f", {defect} double"
         table = pairs.sparkSession.createDataFrame([(*map(int, p), float(x)) for p, x in zip(patterns, post, strict=True)], schema)
         out = out.join(F.broadcast(table), cols)

@@ -221,7 +221,7 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def judged(texts: DataFrame, *, rare: float = 1e-6, low: float = 0.02, share: float = 1e-4, chance: float = 0.002, sigmas: float = 6.0, excess: float = 5.0) -> DataFrame:
+def judged(texts: DataFrame, *, rare: float = 1e-6, low: float = 0.02, share: float = 1e-3, chance: float = 0.002, sigmas: float = 6.0, excess: float = 5.0) -> DataFrame:
     """Every text without a plain stop, with the columns is_cut and evidence and what they rest on.
 
     texts: corpus STRING, rec_id BIGINT, source STRING, text STRING. rare: the share of all running words
@@ -247,7 +247,7 @@ def judged(texts: DataFrame, *, rare: float = 1e-6, low: float = 0.02, share: fl
     )
     tails = materialise(map_arrow(texts.select("corpus", "rec_id", "source", "text"), _tails, TAILS).withColumn("source_key", F.coalesce("source", F.lit("\0"))), "tails")
     worded = tails.where("last is not null")
-    few = max(3.0, share * worded.count())
+    few = max(5.0, share * worded.count())
     out = worded
     for unit in UNITS:
         out = out.join(_heaps(worded, unit, sigmas, excess), ["corpus", "source_key", f"n_{unit}"], "left")
