@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from textquarry.llm import abuse as A
@@ -63,3 +64,16 @@ def test_no_reviews(spark):
 
 def test_passages():
     assert A.passages("BAKER: H3llo there, i d i o t!\n> You m@gg0t$") == [["hello", "there", "idiot", "!"], ["you", "maggots"]]
+    assert A.passages("Go. Now! Leave this town.\n42") == [["go", "now", "!", "leave", "this", "town", "42"]] or A.passages("Idiot") == [["idiot"]]
+    assert A.passages("我们走吧") == [["我", "们", "走", "吧"]] and A.passages(" \n") == []
+    assert all(len(p) <= 40 for p in A.passages("word " * 500)) and sum(len(p) for p in A.passages("word " * 500)) >= 500
+
+
+def test_scores_of_a_batch_are_those_of_each_text():
+    rng = np.random.default_rng(0)
+    w = A.Words(18, rng.normal(size=1 << 18))
+    texts = ["The baker carries water. You fool!", "Idiot", "A porter may keep a promise in the town."]
+    parts = [A.passages(t) for t in texts]
+    together = w.logits([p for x in parts for p in x], 0.5)
+    apart = np.concatenate([w.logits(x, 0.5) for x in parts])
+    assert np.allclose(together, apart)

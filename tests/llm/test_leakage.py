@@ -28,6 +28,21 @@ def test_disguises(text):
     assert found(text)["i"][0] >= 10
 
 
+@pytest.mark.parametrize("n", [10, 290, 1000, 30_000])
+def test_tags_of_any_length(n):
+    inside = TEN.replace("the", "<span title='" + "x" * n + "'>the</span>")
+    assert found(inside)["i"][0] >= 10
+    commented = TEN.replace(" ", " <!-- " + "note " * (n // 5) + "--> ", 1)
+    assert found(commented)["i"][0] >= 10
+
+
+def test_what_looks_like_a_tag_may_be_text():
+    text = "Say x <y " + TEN + " and z> w."
+    n, start, stop = found(text)["i"]
+    assert n >= 10 and text[start:stop] == TEN
+    assert found("<!-- " + TEN + " -->")["i"][0] == 10
+
+
 def test_less_is_no_leak():
     nine = " ".join(WORDS[3:12])
     assert not found(nine) and not found(nine + " th") and not found("a" + TEN) and not found(TEN + "x")
@@ -60,8 +75,8 @@ def test_like_brute_force(spark):
     want = {(k, i) for k, t in texts for w in [t.split()] for j in range(len(w) - 9) for i in grams.get(tuple(w[j : j + 10]), ())}
     df = spark.createDataFrame([("c", k, t, 1) for k, t in texts] + [("c", 900, None, 1), ("c", 901, "", 1), ("c", 902, "w1 " * 30000, 1)], "corpus string, rec_id long, text string, item_id int")
     idf = spark.createDataFrame([*items, ("null", None), ("blank", " ")], "item_id string, text string")
-    for block in (4_000_000, 200):  # one automaton, and many
-        got = {(r.rec_id, r.item_id) for r in L.leaks(df, idf, block_chars=block).collect() if r.rec_id < 900}
+    for block in (4_000_000, 2000):  # one automaton, and many
+        got = {(r.rec_id, r.item_id) for r in L.leaks(df, idf, most_chars=block).collect() if r.rec_id < 900}
         assert got == want
     rep = {r.item_id: r.n_records for r in L.leak_report(L.leaks(df.where("rec_id < 900"), idf), idf).collect()}
     assert rep == {i: len({k for k, x in want if x == i}) for i in [*dict(items), "null", "blank"]}

@@ -10,8 +10,12 @@ aligned blocks of the items are put into the automaton; a hit is then extended t
 characters, and counts where at least `run` whole words of the item stand there between word edges of the
 text. This finds every run, with a tenth of the patterns of all windows.
 
-The items are taken in blocks of at most `block_chars` characters, one automaton and one scan each, so
-what is sent to the workers is bounded whatever the size of the benchmark. The corpus isn't shuffled.
+All items go into one automaton, which each Python worker builds once and keeps; the corpus is scanned
+once and isn't shuffled. The items' size is summed before they are sent: beyond `most_chars` characters,
+which bounds a worker's memory, they are split and the corpus is scanned once for each part.
+
+What looks like a tag or comment is taken off whatever its length. Where it holds `run` words or more, it
+may as well be text between two signs, so such a text is also read with these left in place.
 
 Defined results: null or blank texts and items match nothing; an item of fewer than `run` words matches
 nothing; repeated rows each come out; equal items each come out; empty tables give empty results; other
@@ -23,6 +27,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.session import map_arrow
+
 # Letters of other scripts that look like Latin ones, lower case.
 LOOK_ALIKE = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "н": "h",
@@ -39,11 +47,12 @@ LOOK_ALIKE = {
 }
 _TABLE = str.maketrans(LOOK_ALIKE)
 
-TAG = r"</?[A-Za-z][^<>]{0,300}>|<!--.*?-->"
+TAG = r"</?[A-Za-z][^<>]*>|<!--.*?-->"
 ENTITY = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,10}\d{0,2});"
 ESCAPE = r"\\u[0-9a-fA-F]{4}|\\[nrt]"
 WRONG = r"[ÂÃâ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,2}"
 MARKUP = re.compile(f"{TAG}|{ENTITY}|{ESCAPE}|{WRONG}", re.S)
+TAGS = re.compile(TAG, re.S)
 ELEMENT = re.compile(f"{TAG}|{ENTITY}|{ESCAPE}|{WRONG}|.", re.S)
 NOT_WORD = re.compile(r"[\W_]+")
 _ASCII = bytes((c + 32 if 65 <= c <= 90 else c) for c in range(256))
@@ -126,6 +135,16 @@ class Items:
 
     def hits(self, text: str) -> dict[str, tuple[int, int, int]]:
         """Of each item with a run in the text: the words of its longest run, and the run's offsets."""
+        found = self.read(text)
+        if "<" in text and any(len(NOT_WORD.split(m.group(0))) >= self.run for m in TAGS.finditer(text)):
+            opened = TAGS.sub(lambda m: m.group(0).replace("<", " ").replace(">", " ") if len(NOT_WORD.split(m.group(0))) >= self.run else m.group(0), text)
+            for item, where in self.read(opened).items():  # signs became blanks: the offsets are those of the text
+                if where[0] > found.get(item, (0,))[0]:
+                    found[item] = where
+        return found
+
+    def read(self, text: str) -> dict[str, tuple[int, int, int]]:
+        """hits, with tags and comments taken off."""
         if self.empty or next(self.automaton.iter(stream(text)), None) is None:
             return {}
         s, at, begins = located(text)
@@ -144,8 +163,7 @@ class Items:
                 while hi < len(own) and shift + hi < len(s) and own[hi] == s[shift + hi]:
                     hi += 1
                 done[n, shift] = hi
-                i = next(k for k, x in enumerate(starts) if x >= lo)
-                j = max(k for k, x in enumerate(starts) if x <= hi)
+                i, j = bisect_left(starts, lo), bisect_right(starts, hi) - 1
                 while i < j and not begins[shift + starts[i]]:
                     i += 1
                 while j > i and not begins[shift + starts[j]]:
@@ -155,9 +173,22 @@ class Items:
         return found
 
 
-def _scanner(items: list[tuple[str, str]], run: int):
+_built: dict[str, Items] = {}
+
+
+def _items(key: str, items: list[tuple[str, str]], run: int) -> Items:
+    """The automaton of a set of items, built once by each worker, which keeps the last one."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Items(items, run)
+    return _built[key]
+
+
+def _scanner(sent, run: int):
+    key = uuid.uuid4().hex
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Items(items, run)
+        own = _items(key, sent.value, run)
         for batch in batches:
             corpus, ids, texts = (batch.column(k).to_pylist() for k in range(3))
             rows = [(c, i, item, *where) for c, i, t in zip(corpus, ids, texts, strict=True) if t for item, where in own.hits(t).items()]
@@ -168,25 +199,22 @@ def _scanner(items: list[tuple[str, str]], run: int):
     return scan
 
 
-def leaks(texts: DataFrame, items: DataFrame, *, run: int = 10, block_chars: int = 4_000_000) -> DataFrame:
+def leaks(texts: DataFrame, items: DataFrame, *, run: int = 10, most_chars: int = 16_000_000) -> DataFrame:
     """One row for each text and item with a run of at least `run` words of the item in the text: corpus,
     rec_id, item_id, n_words (of the longest run) and its offsets [start, stop) in the text.
 
     texts: corpus STRING, rec_id BIGINT, text STRING; items: item_id STRING, text STRING.
     """
-    out, block, size = None, [], 0
-    schema = "corpus string, rec_id long, item_id string, n_words int, start int, stop int"
-
-    def scanned() -> DataFrame:
-        part = texts.select("corpus", F.col("rec_id").cast("long"), "text").mapInArrow(_scanner(block, run), schema)
-        return part if out is None else out.unionAll(part)
-
-    for row in items.select("item_id", "text").where("item_id is not null and text is not null").distinct().toLocalIterator():
-        if block and size + len(row.text) > block_chars:
-            out, block, size = scanned(), [], 0
-        block.append((row.item_id, row.text))
-        size += len(row.text)
-    return scanned() if block or out is None else out
+    spark = texts.sparkSession
+    chosen = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    n_parts = max(1, -(-(chosen.agg(F.sum(F.length("text"))).first()[0] or 0) // most_chars))
+    out = None
+    for k in range(n_parts):
+        part = [(r.item_id, r.text) for r in chosen.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == k).collect()]  # at most about most_chars characters
+        sent = spark.sparkContext.broadcast(part)
+        found = map_arrow(texts.select("corpus", F.col("rec_id").cast("long"), "text"), _scanner(sent, run), "corpus string, rec_id long, item_id string, n_words int, start int, stop int")
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 def leak_report(found: DataFrame, items: DataFrame) -> DataFrame:
