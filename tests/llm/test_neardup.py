@@ -72,6 +72,41 @@ def test_groups_like_union_find(spark):
     assert got == {i: (find(i), sum(i in p for p in pairs)) for i in head}
 
 
+def reworked(seed, n, edit):
+    """n texts of words of their own, each with a copy that edit reworked."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        w = [f"v{rng.randrange(5000)}" for _ in range(rng.randrange(60, 140))]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(edit(rng, list(w))))]
+    return rows
+
+
+def inserted(rng, w):
+    for _ in range(len(w) // 25):
+        w.insert(rng.randrange(len(w)), "new")
+    return w
+
+
+def reordered(rng, w):
+    a, b = sorted(rng.sample(range(len(w)), 2))
+    return w[b:] + w[a:b] + w[:a]
+
+
+def near_the_limit(rng, w):
+    for _ in range(len(w) // 14):
+        w[rng.randrange(len(w))] = "other"
+    return w
+
+
+def test_recall_of_insertions_reordering_and_pairs_near_the_limit(spark):
+    for seed, edit, least in ((1, inserted, 0.99), (2, reordered, 0.99), (3, near_the_limit, 0.97)):
+        rows = reworked(seed, 300, edit)
+        want = brute(rows)
+        got = {tuple(r) for r in N.similar_pairs(spark.createDataFrame(rows, "rec_id long, t string"), "rec_id", "t", **OPTIONS).collect()}
+        assert got <= want and len(got) >= least * len(want) and len(want) > 150, (edit, len(got), len(want))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "rec_id long, t string")
     assert N.similar_pairs(df, "rec_id", "t", **OPTIONS).count() == 0

@@ -51,7 +51,7 @@ def _quotas(fraction: float, block_tokens: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("source")
         held = rows["held"].to_numpy(dtype=np.int64)
-        caps = held * rows["max_repeats"].to_numpy(dtype=np.int64) // block_tokens
+        caps = -(-held * rows["max_repeats"].to_numpy(dtype=np.int64) // block_tokens)  # an exhausted source also gives its last part of a block
         blocks = int(fraction * held.sum()) // block_tokens
         return rows.assign(quota=sainte_lague(rows["target_share"].to_numpy(), caps, blocks), blocks=blocks)[["shard", "source", "quota", "blocks"]]
 
