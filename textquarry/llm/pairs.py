@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from textquarry.llm import truncation
 from textquarry.session import map_arrow, materialise
 
-MARKER = re.compile(r"so my answer is\s*:", re.I)
+MARKER = re.compile(r"[Ss][Oo] [Mm][Yy] [Aa][Nn][Ss][Ww][Ee][Rr] [Ii][Ss]\s*:")
 WORD = re.compile(r"[^\W_]+")
 LETTER = re.compile(r"[^\W\d_]")
 BEYOND_LATIN = re.compile(r"[^\W\d_\x00-\u024f]")
@@ -51,15 +51,15 @@ QUOTED = re.compile(r"“[^”]*”|\"[^\"]*\"|«[^»]*»|‘[^’]{12,}’")
 SENTENCE = re.compile(r"[^.!?\n]+")
 BRACKETED = re.compile(r"<[^<>]*>|\[[^\[\]]*\]|\{[^{}]*\}|\([^()]*\)")
 TRIM = "\u200b\ufeff\u2060 \t\r\n\xa0"
+CLOSERS = TRIM + "\"'`.,;:!?-–—_*#|/\\()[]{}<>”’»"
 TRIM_SIGNS = TRIM + "\"'`.,;:!?-–—_*#|/\\"
 
 # What stands for no content.
 PLACEHOLDER = re.compile(r"n\s*/?\s*a|null|none|nil|nan|undefined|todo|tbd|empty|blank|no (?:output|response|answer|content|text|reply)|(?:\w+_)?error\b.*|timed? ?out|missing|unknown|end of answer", re.I)
-CLOSING = re.compile(r"(?:end of answer)?[\W_]*$", re.I)
 # Signs of declining, each of its own kind.
 DENY = re.compile(r"\bi\b(?:'\w+)?[^.!?\n]{0,14}?(?:\bnot\b|n't\b|\bcannot\b|\bunable\b|\brefuse|\bdecline|\brather\b|\bprefer|\bpass\b|\bleave\b|\bsilent|\bstay away)|\bagainst my\b|\boutside what i\b|\bnot a thing i\b")
 ASKED_OF = re.compile(r"\b(?:ask|answer|help|assist|reply|respond|discuss|comment|talk|speak|say|questions?|request|topic|matter|do (?:that|this)|this one|that one|advice|provide)\b")
-COURTESY = re.compile(r"\bsorry\b|\bafraid\b|\bunfortunately\b|\bapolog|\bi regret\b|\bwith respect\b|\bthank you\b|\bplease\b|\bhope you\b|^\W*no\.")
+COURTESY = re.compile(r"\b(?:sorry|afraid|unfortunately|regrettably|apolog\w*|i regret|with respect|thank you|please|hope you)\b|^no\.")
 ROLE = re.compile(r"\blanguage model\b|\ban ai\b|\bassistant\b|\bmy (?:rules|guidelines|policy|policies|makers|training)\b|\b(?:am|m|are) (?:not )?(?:allowed|permitted|comfortable|able|supposed)\b|\bbeen (?:told|asked|instructed|trained)\b|\bi may (?:not )?(?:talk|speak|say)\b|\bfeel comfortable\b")
 ELSEWHERE = re.compile(r"\b(?:someone|somebody|something|anything) else\b|\bother things\b|\banother (?:thing|question|topic)\b|\btrained person\b|\bbetter guide\b|\byou should\b|\blet us talk\b")
 
@@ -100,13 +100,14 @@ OWN = ("empty", "refusal", "echo", "language")
 CUTOFFS = {"empty": 0.5, "echo": 0.5, "refusal": 0.5, "language": 0.5, "truncated": 0.5}
 
 
+def _most(score: Counter, n_words: int) -> str | None:
+    (best, most), second = (score.most_common(2) + [(None, 0)] * 2)[:2]
+    return best if most >= max(2, 0.12 * n_words) and most > second[1] else None
+
+
 def language_of(words: list[str], least: int = 4) -> str | None:
     """The language whose function words cover most of the words; None where too few are known."""
-    if len(words) < least:
-        return None
-    score = Counter(k for w in words for k in _LANGUAGES.get(w, ()))
-    (best, most), second = (score.most_common(2) + [(None, 0)] * 2)[:2]
-    return best if most >= max(2, 0.12 * len(words)) and most > second[1] else None
+    return _most(Counter(k for w in words for k in _LANGUAGES.get(w, ())), len(words)) if len(words) >= least else None
 
 
 @lru_cache(100_000)
@@ -149,7 +150,9 @@ class Prompt:
 
 def _last_sentence(low: str) -> str:
     """The last sentence with words, without marks."""
-    body = CLOSING.sub("", low)
+    body = low.rstrip(CLOSERS)
+    if body.endswith("end of answer"):
+        body = body[:-13].rstrip(CLOSERS)
     cut = max(body.rfind(c) for c in ".!?\n:")
     return " ".join(body[cut + 1 :].split())
 
@@ -238,7 +241,7 @@ def _empty_votes(text: str, hint: str | None, known: frozenset, function: frozen
 
 
 def _refusal_votes(low: str, n_words: int, close: int) -> list[int]:
-    plain = low.replace("’", "'")
+    plain = low.replace("’", "'").lstrip()
     if re.search(r"[“\"«‘]", plain):
         plain = QUOTED.sub(" ", plain)
     brief = _vote(n_words <= 25, n_words > 60)
@@ -277,7 +280,9 @@ def _language_votes(p: Prompt, text: str, words: list[str], corpus: Corpus) -> l
         return [0, 0, 0, 0, 0]
     if len(words) < 4:
         return [0, 0, 0, 0, other]
-    score = Counter(k for w in words for k in _LANGUAGES.get(w, ()))
+    get, half = _LANGUAGES.get, len(words) // 2
+    parts = [Counter(k for ks in map(get, part) if ks for k in ks) for part in (words[:half], words[half:])]
+    score = parts[0] + parts[1]
     own, most = score.pop(p.language, 0), max(score.values(), default=0)
     function = _vote(most >= 2 and most > own, own >= 0.15 * len(words) and own > most) if p.language in _FUNCTION else 0
     common, strange = corpus.common.get(p.language), -1 if text.isascii() else 0
@@ -288,8 +293,7 @@ def _language_votes(p: Prompt, text: str, words: list[str], corpus: Corpus) -> l
     if not text.isascii() and p.language in corpus.letters:
         usual = corpus.letters[p.language]
         strange = _vote(sum(any(c > "\x7f" and c not in usual for c in w) for w in words) >= 2, True)
-    half = len(words) // 2
-    halves = [language_of(words[:half], 3), language_of(words[half:], 3)]
+    halves = [_most(parts[0], half), _most(parts[1], len(words) - half)]
     foreign, same = (sum(x is not None and (x != p.language) == y for x in halves) for y in (True, False))
     return [function, unfamiliar, strange, _vote(foreign > same, same > foreign) if p.language in _FUNCTION else 0, other]
 
