@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textquarry.functions.text import strip
+
 
 def doc_key(id_col: str | Column) -> Column:
     """The document of a passage id: all before the last hyphen, the whole id without one."""
@@ -12,8 +14,8 @@ def doc_key(id_col: str | Column) -> Column:
 
 
 def content_hash(text: str | Column, length: int = 12) -> Column:
-    """The first characters of the MD5 of a trimmed text."""
-    return F.substring(F.md5(F.trim(text)), 1, length)
+    """The first characters of the MD5 of a stripped text."""
+    return F.substring(F.md5(strip(text)), 1, length)
 
 
 def bucket(id_col: str | Column, buckets: int = 10_000) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import tokens
+from textquarry.functions.text import strip, tokens
 
 # The special tokens in the order of their ids, and the label that is not trained on.
 SPECIAL = ("<PAD>", "<UNK>", "<BOS>", "<EOS>", "<CAP>")
@@ -57,7 +57,7 @@ def detokenised(piece: str | Column) -> Column:
             .otherwise(F.struct(nxt.alias("out"), F.when(t == "\n", cap).otherwise(F.lit(False)).alias("cap")))
         )
 
-    return F.trim(F.aggregate(_c(piece), start, step, lambda st: st["out"]))
+    return strip(F.aggregate(_c(piece), start, step, lambda st: st["out"]))
 
 
 def cut_to(seq: str | Column, most: int) -> Column:

@@ -16,10 +16,23 @@ MARKER = r"[Ss]o my answer is:"
 PLAIN_FROM, PLAIN_TO = "\u2010\u2011\u2012\u2013\u2014\u2015\u2018\u2019\u201c\u201d\u00a0", "------''\"\" "
 
 
+# All characters that count as white space at the ends of a text.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(x: str | Column) -> Column:
+    """A text without white space of any kind at its ends (a plain trim takes off blanks alone)."""
+    return F.btrim(_c(x), F.lit(BLANKS))
+
+
+def lstrip(x: str | Column) -> Column:
+    return F.ltrim(_c(x), F.lit(BLANKS))
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value worked out once, however often it is named: inside the lambdas of folds
     and searches an expression would else be worked out anew at every step."""
@@ -55,7 +68,7 @@ def response_words(text: str | Column) -> Column:
 def usable(text: str | Column, stripped: bool = True) -> Column:
     """Whether there is a text and it is no <...> error; without `stripped` leading blanks hide the sign."""
     t = _c(text)
-    body = F.ltrim(t) if stripped else t
+    body = lstrip(t) if stripped else t
     return F.coalesce((t != "") & ~body.startswith("<"), F.lit(False))
 
 
@@ -108,7 +121,7 @@ def is_artifact(paragraph: str | Column) -> Column:
 
 def tidy(text: str | Column) -> Column:
     """Italic underscores off, white space collapsed and trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(_c(text), r"_([^_]+)_", "$1"), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(_c(text), r"_([^_]+)_", "$1"), r"\s+", " "))
 
 
 # The verbs of an attribution.
@@ -129,7 +142,7 @@ def attribution(text: str | Column, names: Sequence[str]) -> Column:
 def without_attribution(text: str | Column, names: Sequence[str]) -> Column:
     """The speech alone: attribution off, outer marks off, closed by a full stop where none closes it."""
     out = F.regexp_replace(_c(text), rf"(?i),?\s+(?:{SPEECH_VERBS})\s+(?:{'|'.join(names)})\b,?", "")
-    out = F.btrim(F.regexp_replace(F.trim(out), r"\s+", " "), F.lit(" ,;."))
+    out = F.btrim(F.regexp_replace(strip(out), r"\s+", " "), F.lit(" ,;."))
     return F.when((out == "") | out.rlike(r"[.?!]$"), out).otherwise(F.concat(out, F.lit(".")))
 
 
@@ -147,7 +160,7 @@ def from_header(text: str | Column, header: str) -> Column:
 def passage_after(text: str | Column, label: str = "Extended passage") -> Column:
     """What follows the label's own line; the trimmed text without one."""
     parts = F.split(_c(text), rf"(?i)\n\s*{label}:\s*\n", 2)
-    return F.trim(F.element_at(parts, -1))
+    return strip(F.element_at(parts, -1))
 
 
 def marker_count(text: str | Column) -> Column:
@@ -168,9 +181,9 @@ def answer_parts(text: str | Column) -> dict[str, Column]:
 def final_answer(text: str | Column, cue: str = "final answer") -> dict[str, Column]:
     """Reasoning and answer at the last cue; without one (or with nothing on either side) the last
     sentence is the answer; a single sentence is both."""
-    t = F.trim(_c(text))
+    t = strip(_c(text))
     pattern = rf"(?is)^(.*){cue}\s*:\s*(.*)$"
-    before, after = F.trim(F.regexp_extract(t, pattern, 1)), F.trim(F.regexp_extract(t, pattern, 2))
+    before, after = strip(F.regexp_extract(t, pattern, 1)), strip(F.regexp_extract(t, pattern, 2))
     parts = F.split(t, r"(?<=[.!?])\s+")
     cued, several = (before != "") & (after != ""), F.size(parts) >= 2
     return {
@@ -192,7 +205,7 @@ def has_loop(text: str | Column, n: int = 4, times: int = 3) -> Column:
 
 def verdict(text: str | Column) -> Column:
     """follows or does not follow, from a model's wording; null where neither is said."""
-    t = F.lower(F.trim(_c(text)))
+    t = F.lower(strip(_c(text)))
     return F.when(t.contains("does not follow") | t.contains("not follow"), "does not follow").when(t.contains("follow"), "follows")
 
 
@@ -204,7 +217,7 @@ def validity(text: str | Column, tail: int = 400) -> Column:
 
 def braces(text: str | Column) -> Column:
     """From the first { to the last }, code fences off; null without both."""
-    bare = F.regexp_replace(F.trim(_c(text)), r"(?m)^```\w*\s*$", "")
+    bare = F.regexp_replace(strip(_c(text)), r"(?m)^```\w*\s*$", "")
     return F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
 
 
@@ -255,4 +268,4 @@ def query_text(instruction: str | Column, question: str | Column, always: bool =
     """Instruction, blank line, question; with `always` also where the instruction is empty."""
     i, q = F.coalesce(_c(instruction), F.lit("")), F.coalesce(_c(question), F.lit(""))
     both = F.concat(i, F.lit("\n\n"), q)
-    return both if always else F.when(F.trim(i) != "", both).otherwise(q)
+    return both if always else F.when(strip(i) != "", both).otherwise(q)

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import bound, is_artifact, split_words, strip_markdown
+from textquarry.functions.text import bound, is_artifact, split_words, strip, strip_markdown
 
 
 def overlapping(text: Column, most: int = 500, overlap: int = 50) -> Column:
     """Chunks of whole paragraphs, of at most `most` words where paragraphs allow, each beginning with the
     last `overlap` words of the one before. A paragraph longer than that stays whole. A fold inside the
     row: nothing is shuffled."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\n+"), lambda p: F.trim(p)), lambda p: (p != "") & ~is_artifact(p))
+    paragraphs = F.filter(F.transform(F.split(text, r"\n\n+"), lambda p: strip(p)), lambda p: (p != "") & ~is_artifact(p))
     lists = F.transform(paragraphs, lambda p: split_words(strip_markdown(p)))
     empty = F.expr("cast(array() as array<string>)")
     start = F.struct(empty.alias("out"), empty.alias("cur"))
@@ -63,11 +63,11 @@ def targeted(text: Column, target: int = 350, least: int = 120, most: int = 600)
 def turns(df: DataFrame, id_col: str, text: str, opener: str) -> DataFrame:
     """Turns of a dialogue: a line that the opener matches (its first group is the speaker) begins one,
     other lines continue it; lines before the first are left out. id, turn, speaker, text."""
-    lines = df.select(id_col, F.posexplode(F.split(text, r"\n")).alias("pos", "line")).where(F.trim("line") != "")
+    lines = df.select(id_col, F.posexplode(F.split(text, r"\n")).alias("pos", "line")).where(strip("line") != "")
     w = Window.partitionBy(id_col).orderBy("pos")
     marked = lines.withColumn("speaker", F.nullif(F.regexp_extract("line", opener, 1), F.lit("")))
     numbered = marked.withColumn("turn", F.count("speaker").over(w)).where("turn > 0")
-    body = F.trim(F.regexp_replace("line", opener, ""))
+    body = strip(F.regexp_replace("line", opener, ""))
     return numbered.groupBy(id_col, "turn").agg(F.max("speaker").alias("speaker"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", body.alias("t")))), lambda s: s["t"]), " ").alias("text"))
 
 
@@ -77,7 +77,7 @@ def sections(df: DataFrame, id_col: str, text: str, header: str) -> DataFrame:
     w = Window.partitionBy(id_col).orderBy("pos")
     marked = lines.withColumn("is_header", F.col("line").rlike(header)).withColumn("section", F.count(F.when(F.col("is_header"), 1)).over(w)).where("section > 0")
     body = F.sort_array(F.collect_list(F.when(~F.col("is_header"), F.struct("pos", "line"))))
-    return marked.groupBy(id_col, "section").agg(F.max(F.when(F.col("is_header"), F.trim("line"))).alias("title"), F.trim(F.array_join(F.transform(body, lambda s: s["line"]), "\n")).alias("body"))
+    return marked.groupBy(id_col, "section").agg(F.max(F.when(F.col("is_header"), strip("line"))).alias("title"), strip(F.array_join(F.transform(body, lambda s: s["line"]), "\n")).alias("body"))
 
 
 def neighbours(df: DataFrame, doc: str, order: str, speaker: str, text: str, low: int, high: int, filter_first: bool = False) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.functions.stats import at_share, decile, stdev
+from textquarry.functions.stats import stdev
+from textquarry.functions.text import strip
+from textquarry.functions.training import perplexity
 
 
 def summary(df: DataFrame, *by: str, score: str = "score") -> DataFrame:
@@ -55,22 +57,60 @@ def described(df: DataFrame, value: str, *by: str) -> DataFrame:
 
 
 def length_profile(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """Exclusive deciles 1 and 9 and the value at nine tenths of the sorted lengths, from one weight per
-    distinct length, so a group's state is bounded by its longest text."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    arr = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), F.col("_n").alias("n")))), lambda s: F.array_repeat(s["v"], s["n"].cast("int"))))
-    out = counts.groupBy(*by).agg(F.sum("_n").alias("n"), (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean"), arr.alias("_a"))
-    return out.withColumns({"p10": decile(F.col("_a"), 1), "p90": decile(F.col("_a"), 9), "at_90": at_share(F.col("_a"), 0.9)}).drop("_a")
+    """n, mean, median, least, most, the exclusive deciles 1 and 9 and the value at nine tenths of the
+    sorted lengths. Below ten values the deciles are the least and the most. Values at a rank are found
+    from the running count of the distinct lengths, so nothing holds the rows of a group; a group has as
+    many distinct lengths as its longest text has words at most."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k"))
+    w = Window.partitionBy(*by).orderBy(value)
+    upto = counts.withColumns({"_upto": F.sum("_k").over(w), "_n": F.sum("_k").over(Window.partitionBy(*by)), "_v": F.col(value).cast("double")})
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
+
+    def decile(k: int) -> Column:
+        j = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.floor(F.lit(k) * (F.col("_n") + 1) / 10)))
+        over = F.first(F.lit(k) * (F.col("_n") + 1) - j * 10)
+        return F.when(F.first("_n") < 10, F.min("_v") if k < 5 else F.max("_v")).otherwise((at(j) * (10 - over) + at(j + 1) * over) / 10.0)
+
+    middle = (at(F.floor((F.col("_n") + 1) / 2)) + at(F.floor(F.col("_n") / 2) + 1)) / 2
+    out = upto.groupBy(*by).agg(
+        F.first("_n").alias("n"), (F.sum(F.col("_v") * F.col("_k")) / F.sum("_k")).alias("mean"), middle.alias("median"), F.min("_v").alias("least"), F.max("_v").alias("most"),
+        decile(1).alias("p10"), decile(9).alias("p90"), at(F.least(F.floor(F.col("_n") * 0.9) + 1, F.col("_n"))).alias("at_90"),
+    )
+    return out
 
 
 def pairwise(df: DataFrame) -> DataFrame:
-    """Wins by condition, slots undone. df: id, winner (A, B or TIE in any case), slot_a, slot_b. Another
-    winner counts among n alone."""
-    w = F.upper(F.trim("winner"))
-    won = F.when(w == "A", F.col("slot_a")).when(w == "B", F.col("slot_b")).when(w == "TIE", F.lit("tie"))
+    """Wins by condition, slots undone. df: id, winner (A, B or TIE in any case), slot_a, slot_b. An empty
+    or absent winner is a tie; any other counts under a null winner."""
+    w = F.upper(F.coalesce("winner", F.lit("")))
+    won = F.when(w == "A", F.col("slot_a")).when(w == "B", F.col("slot_b")).when(w.isin("TIE", ""), F.lit("tie"))
     return df.withColumn("won", won).groupBy("won").agg(F.count("*").alias("n"))
 
 
+def pairwise_dims(df: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Wins of each condition in each dimension, by the higher score; equal scores tie, a missing one
+    leaves the dimension out. df: slot_a, slot_b and the structs scores_a, scores_b of the dimensions."""
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(f"scores_a.{d}").alias("a"), F.col(f"scores_b.{d}").alias("b")) for d in dims)))
+    long = df.select("slot_a", "slot_b", each.alias("x")).where("x.a is not null and x.b is not null")
+    won = F.when(F.col("x.a") > F.col("x.b"), F.col("slot_a")).when(F.col("x.a") < F.col("x.b"), F.col("slot_b")).otherwise("tie")
+    return long.groupBy(F.col("x.dim").alias("dim"), won.alias("won")).agg(F.count("*").alias("n"))
+
+
+def preference_pairs(df: DataFrame, references: DataFrame, prompt: str, text: str, order: str, *, reward: str = "reward", reason: str = "reason", margin: float = 0.2, most: int = 2) -> DataFrame:
+    """Chosen and rejected texts of each prompt: its reference beside the worst rollout, and the best
+    rollout beside the worst where the best is sound (reason ok) and at least `margin` better; texts that
+    are equal but for white space at the ends make no pair. references: prompt key, reference."""
+    ends = best_and_worst(df, prompt, reward, order, text, reward, reason)
+    joined = ends.join(references.select(prompt, "reference"), prompt, "left")
+    best, worst, ref = F.col(f"best.{text}"), F.col(f"worst.{text}"), F.col("reference")
+    high, low = F.col(f"best.{reward}"), F.col(f"worst.{reward}")
+    pair = lambda chosen, src, score: F.struct(chosen.alias("chosen"), worst.alias("rejected"), F.lit(src).alias("chosen_src"), F.lit("onpolicy_worst").alias("rejected_src"), F.round(score, 4).alias("chosen_score"), F.round(low, 4).alias("rejected_score"))
+    first = F.when(ref.isNotNull() & (worst != "") & (strip(ref) != strip(worst)), pair(ref, "p4", F.lit(1.0)))
+    second = F.when((F.col(f"best.{reason}") == "ok") & (high - low >= margin) & (strip(best) != strip(worst)), pair(best, "onpolicy_best", high))
+    kept = F.slice(F.filter(F.array(first, second), lambda p: p.isNotNull()), 1, most)
+    return joined.select(prompt, F.explode(kept).alias("p")).select(prompt, "p.*")
+
+
 def jury(df: DataFrame, item: str, dim: str, least: int = 2) -> DataFrame:
     """The jurors' mean per item and dimension; null under `least` valid scores."""
     return df.groupBy(item, dim).agg(F.count("score").alias("n_valid"), F.avg("score").alias("_m")).withColumn("jury_mean", F.when(F.col("n_valid") >= least, F.col("_m"))).drop("_m")
@@ -90,13 +130,17 @@ def group_advantage(df: DataFrame, group: str, reward: str, floor: float = 1e-6)
 
 
 def best_and_worst(df: DataFrame, group: str, score: str, order: str, *keep: str) -> DataFrame:
-    """The first best and the last worst row of each group, ties by the order."""
+    """The last best and the first worst row of each group in the order, as the ends of a stable sort by
+    the score."""
     cols = F.struct(*keep)
-    return df.groupBy(group).agg(
-        F.max_by(cols, F.struct(F.col(score), -F.col(order))).alias("best"),
-        F.min_by(cols, F.struct(F.col(score), -F.col(order))).alias("worst"),
-        F.count("*").alias("n"),
-    )
+    rank = F.struct(F.col(score), F.col(order))
+    return df.groupBy(group).agg(F.max_by(cols, rank).alias("best"), F.min_by(cols, rank).alias("worst"), F.count("*").alias("n"))
+
+
+def overall_loss(losses: DataFrame) -> DataFrame:
+    """The loss over all sources, each weighted by its batches, and its perplexity. losses: loss, n_batches."""
+    loss = F.sum(F.col("loss") * F.col("n_batches")) / F.sum("n_batches")
+    return losses.where("n_batches > 0").agg(loss.alias("overall_loss"), perplexity(loss).alias("overall_ppl"))
 
 
 def halted(df: DataFrame, order: str, value: str, rows: int = 50, most: float = 0.15, *by: str) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import capitalised, word_count
+from textquarry.functions.text import capitalised, strip, word_count
 
 Normaliser = Callable[[DataFrame], DataFrame]
 
@@ -36,7 +36,7 @@ def compliant(missing: bool, column: str = "compliant") -> Column:
 
 
 def filled(column: str) -> Column:
-    return F.trim(F.coalesce(F.col(column), F.lit(""))) != ""
+    return strip(F.coalesce(F.col(column), F.lit(""))) != ""
 
 
 def not_value(column: str, value: str) -> Column:
@@ -70,7 +70,7 @@ def audit_forms(df: DataFrame) -> DataFrame:
 
 def audit_cot(df: DataFrame) -> DataFrame:
     tail = F.coalesce(F.nullif(F.col("conclusion"), F.lit("")), F.nullif(F.col("verdict"), F.lit("")), F.lit(""))
-    response = F.when(tail != "", F.trim(F.concat(F.col("reasoning"), F.lit(" "), tail))).otherwise(F.col("reasoning"))
+    response = F.when(tail != "", strip(F.concat(F.col("reasoning"), F.lit(" "), tail))).otherwise(F.col("reasoning"))
     stratum = F.concat_ws("_", F.coalesce("track", F.lit("unknown")), F.coalesce("depth", F.lit("unknown")))
     return df.where(compliant(False) & (F.col("reasoning") != "")).select("id", F.coalesce("prompt_text", F.lit("")).alias("query"), response.alias("response"), stratum.alias("stratum"), F.col("source_model").alias("producer"))
 
@@ -86,7 +86,7 @@ def audited(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def unpivoted(df: DataFrame, id_col: str, fields: Sequence[str], least: int = 20) -> DataFrame:
     """One row for each nested text field that holds at least `least` characters."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.trim(F.col(f)).alias("text")) for f in fields]))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), strip(F.col(f)).alias("text")) for f in fields]))
     return df.select(id_col, each.alias("x")).select(id_col, "x.field", "x.text").where(F.char_length("text") >= least)
 
 
@@ -126,7 +126,7 @@ def messages(system: str, shots: Sequence[tuple[str, str]], user: Column) -> Col
 def think_answer(df: DataFrame, marker: str = "So my answer is:", least: int = 10) -> DataFrame:
     """Prompt, reasoning and answer of the usable chain-of-thought records: compliant, with enough
     reasoning, the answer of their track, and the marker in neither."""
-    prompt, reasoning, conclusion = (F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("prompt_text", "reasoning", "conclusion"))
+    prompt, reasoning, conclusion = (strip(F.coalesce(F.col(c), F.lit(""))) for c in ("prompt_text", "reasoning", "conclusion"))
     unmarked = lambda c: F.instr(F.lower(c), marker.lower()) == 0
     logic = F.create_map(*[F.lit(x) for kv in LOGIC_ANSWERS.items() for x in kv])[F.col("verdict")]
     answer = F.when(F.col("track") == "logic", logic).when((F.col("track") == "philosophy") & (conclusion != "") & unmarked(conclusion), conclusion)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions.sequences import SPECIAL
-from textquarry.functions.text import tokens, words
+from textquarry.functions.text import strip, tokens, words
 
 # The marks that follow the special tokens in a vocabulary, in the order of their ids.
 MARKS = (*".,!?;:-()\"'", *"0123456789", "\n")
@@ -16,7 +16,7 @@ def word_list(spark: SparkSession, path: str, variable: str = "__WORDS") -> Data
     """The words of a script's string literal, parted by |: distinct, lower-case ones in order."""
     literal = F.regexp_extract("value", variable + r'\s*=\s*"([^"]+)"', 1)
     raw = spark.read.text(path, wholetext=True).select(F.explode(F.split(literal, r"\|")).alias("word"))
-    return raw.select(F.trim("word").alias("word")).where(F.col("word").rlike(r"^[a-z]['a-z]*$")).distinct().orderBy("word")
+    return raw.select(strip("word").alias("word")).where(F.col("word").rlike(r"^[a-z]['a-z]*$")).distinct().orderBy("word")
 
 
 def with_ids(word_df: DataFrame) -> DataFrame:

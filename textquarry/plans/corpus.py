@@ -29,7 +29,7 @@ def corpus_selection_report(spark, d):
     """Held-out-aware selection: stable split, filters with skip reasons, exact duplicates, composition."""
     docs = read_table(spark, d, "documents").withColumn("id", F.concat(F.coalesce("source", F.lit("none")), F.lit("-"), F.col("doc_id")))
     reasons = [
-        ("no_text", F.col("text").isNull() | (F.trim("text") == "")),
+        ("no_text", F.col("text").isNull() | (text.strip("text") == "")),
         ("held_out", keys.in_holdout("id", 0.05)),
         ("too_short", text.word_count("text") < 10),
         ("too_long", F.char_length("text") > 20000),

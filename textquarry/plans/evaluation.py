@@ -74,15 +74,15 @@ def a10_a20_parse_rates(spark, d):
     return t.groupBy("run_label").agg(F.count("*").alias("n"), F.round(F.avg(F.col("parse_ok").cast("int")), 4).alias("parse_rate"), *modes)
 
 
-PAIRS = "v AS (SELECT rollout_id, ['a', 'B', 'tie', 'x'][rollout_id % 4 + 1] AS winner, CASE WHEN rollout_id % 2 = 0 THEN 'p4' ELSE 'p5' END AS slot_a, CASE WHEN rollout_id % 2 = 0 THEN 'p5' ELSE 'p4' END AS slot_b FROM rl_rollouts)"
+PAIRS = "v AS (SELECT rollout_id, ['a', 'B', 'tie', 'x', '', NULL][rollout_id % 6 + 1] AS winner, CASE WHEN rollout_id % 2 = 0 THEN 'p4' ELSE 'p5' END AS slot_a, CASE WHEN rollout_id % 2 = 0 THEN 'p5' ELSE 'p4' END AS slot_b FROM rl_rollouts)"
 
 
-@R.query(f"WITH {PAIRS} SELECT CASE WHEN upper(winner) = 'A' THEN slot_a WHEN upper(winner) = 'B' THEN slot_b WHEN upper(winner) = 'TIE' THEN 'tie' END AS won, count(*)::BIGINT AS n FROM v GROUP BY 1")
+@R.query(f"WITH {PAIRS} SELECT CASE WHEN upper(winner) = 'A' THEN slot_a WHEN upper(winner) = 'B' THEN slot_b WHEN upper(coalesce(winner, '')) IN ('TIE', '') THEN 'tie' END AS won, count(*)::BIGINT AS n FROM v GROUP BY 1")
 def a11_pairwise(spark, d):
     """Wins with the slots undone; unknown winners count in no condition."""
-    k = F.pmod("rollout_id", F.lit(4)).cast("int")
+    k = F.pmod("rollout_id", F.lit(6)).cast("int")
     even = F.col("rollout_id") % 2 == 0
-    t = read_table(spark, d, "rl_rollouts").select(F.col("rollout_id").alias("id"), F.get(F.array(*[F.lit(x) for x in ("a", "B", "tie", "x")]), k).alias("winner"), F.when(even, "p4").otherwise("p5").alias("slot_a"), F.when(even, "p5").otherwise("p4").alias("slot_b"))
+    t = read_table(spark, d, "rl_rollouts").select(F.col("rollout_id").alias("id"), F.get(F.array(*[F.lit(x) for x in ("a", "B", "tie", "x", "", None)]), k).alias("winner"), F.when(even, "p4").otherwise("p5").alias("slot_a"), F.when(even, "p5").otherwise("p4").alias("slot_b"))
     return scoring.pairwise(t)
 
 
@@ -98,11 +98,46 @@ def a13_described(spark, d):
     return scoring.described(read_table(spark, d, "bench_run"), "latency_s", "id").select("id", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "stdev")], "least", "most")
 
 
-@R.query(f"WITH w AS (SELECT coalesce(comparator_model, 'none') AS model, {WORDS.format('ugf_response')} AS k FROM comparator_holdout WHERE ugf_response IS NOT NULL), s AS (SELECT model, list_sort(list(k)) AS a, avg(k) AS mean FROM w GROUP BY 1), j AS (SELECT *, len(a) AS n, greatest(1, least(len(a) - 1, (len(a) + 1) // 10)) AS j1, greatest(1, least(len(a) - 1, 9 * (len(a) + 1) // 10)) AS j9 FROM s) SELECT model, n::BIGINT AS n, round(mean, 6) AS mean, round((a[j1] * (10 - (n + 1 - 10 * j1)) + a[j1 + 1] * (n + 1 - 10 * j1)) / 10.0, 6)::DOUBLE AS p10, round((a[j9] * (10 - (9 * (n + 1) - 10 * j9)) + a[j9 + 1] * (9 * (n + 1) - 10 * j9)) / 10.0, 6)::DOUBLE AS p90, a[least(floor(n * 0.9)::BIGINT, n - 1) + 1]::BIGINT AS at_90 FROM j")
+LENGTHS = f"""w AS (SELECT model, k FROM (SELECT coalesce(comparator_model, 'none') AS model, {WORDS.format('ugf_response')}::DOUBLE AS k FROM comparator_holdout WHERE ugf_response IS NOT NULL UNION ALL SELECT 'item ' || id, {WORDS.format('ugf_response')} FROM comparator_holdout WHERE ugf_response IS NOT NULL AND comparator_model = 'sunde-70b')),
+s AS (SELECT model, list_sort(list(k)) AS a, avg(k) AS mean, median(k) AS median FROM w GROUP BY 1), j AS (SELECT *, len(a) AS n, greatest(1, least(len(a) - 1, (len(a) + 1) // 10)) AS j1, greatest(1, least(len(a) - 1, 9 * (len(a) + 1) // 10)) AS j9 FROM s)"""
+
+
+@R.query(f"""WITH {LENGTHS} SELECT model, n::BIGINT AS n, round(mean, 6) AS mean, trunc(median)::BIGINT AS median, a[1]::BIGINT AS least, a[n]::BIGINT AS most,
+CASE WHEN n < 10 THEN a[1] ELSE round((a[j1] * (10 - (n + 1 - 10 * j1)) + a[j1 + 1] * (n + 1 - 10 * j1)) / 10.0, 6) END::DOUBLE AS p10, CASE WHEN n < 10 THEN a[n] ELSE round((a[j9] * (10 - (9 * (n + 1) - 10 * j9)) + a[j9 + 1] * (9 * (n + 1) - 10 * j9)) / 10.0, 6) END::DOUBLE AS p90, a[least(floor(n * 0.9)::BIGINT, n - 1) + 1]::BIGINT AS at_90 FROM j""")
 def a14_a15_length_profile(spark, d):
-    """Exclusive deciles and the value at nine tenths."""
-    t = read_table(spark, d, "comparator_holdout").where("ugf_response is not null").select(F.coalesce("comparator_model", F.lit("none")).alias("model"), text.word_count("ugf_response").cast("long").alias("k"))
-    return scoring.length_profile(t, "k", "model").select("model", "n", F.round("mean", 6).alias("mean"), F.round("p10", 6).alias("p10"), F.round("p90", 6).alias("p90"), F.col("at_90").cast("long").alias("at_90"))
+    """Whole medians, ends, exclusive deciles (the ends below ten values) and the value at nine
+    tenths, of models and of single items, which have few values."""
+    t = read_table(spark, d, "comparator_holdout").where("ugf_response is not null").withColumn("k", text.word_count("ugf_response").cast("long"))
+    models = t.select(F.coalesce("comparator_model", F.lit("none")).alias("model"), "k")
+    items = t.where("comparator_model = 'sunde-70b'").select(F.concat(F.lit("item "), "id").alias("model"), "k")
+    whole = [F.floor(c).cast("long").alias(c) for c in ("median", "least", "most")]
+    return scoring.length_profile(models.unionAll(items), "k", "model").select("model", "n", F.round("mean", 6).alias("mean"), *whole, F.round("p10", 6).alias("p10"), F.round("p90", 6).alias("p90"), F.col("at_90").cast("long").alias("at_90"))
+
+
+DIM_SCORES = "p AS (SELECT CASE WHEN rollout_id % 2 = 0 THEN 'p4' ELSE 'p5' END AS slot_a, CASE WHEN rollout_id % 2 = 0 THEN 'p5' ELSE 'p4' END AS slot_b, u.dim, u.a, u.b FROM rl_rollouts, LATERAL (SELECT unnest(['engagement', 'coherence']) AS dim, unnest([rollout_id % 5, CASE WHEN reward IS NULL THEN NULL ELSE floor(reward * 4)::BIGINT END]) AS a, unnest([step % 5, step % 3]) AS b) u)"
+
+
+@R.query(f"WITH {DIM_SCORES} SELECT dim, CASE WHEN a > b THEN slot_a WHEN b > a THEN slot_b ELSE 'tie' END AS won, count(*)::BIGINT AS n FROM p WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2")
+def a11_pairwise_dimensions(spark, d):
+    """Wins in each dimension."""
+    even = F.col("rollout_id") % 2 == 0
+    a = F.struct(F.pmod("rollout_id", F.lit(5)).alias("engagement"), F.floor(F.col("reward") * 4).alias("coherence"))
+    b = F.struct((F.col("step") % 5).cast("long").alias("engagement"), (F.col("step") % 3).cast("long").alias("coherence"))
+    t = read_table(spark, d, "rl_rollouts").select(F.when(even, "p4").otherwise("p5").alias("slot_a"), F.when(even, "p5").otherwise("p4").alias("slot_b"), a.alias("scores_a"), b.alias("scores_b"))
+    return scoring.pairwise_dims(t, ("engagement", "coherence"))
+
+
+@R.query("""WITH t AS (SELECT prompt_id, rollout_id, completion_text AS text, reward, CASE WHEN reward > 0.5 THEN 'ok' ELSE reason END AS reason FROM rl_rollouts WHERE reward IS NOT NULL AND completion_text IS NOT NULL),
+e AS (SELECT prompt_id, arg_max(text, (reward, rollout_id)) AS best, arg_min(text, (reward, rollout_id)) AS worst, max(reward) AS high, min(reward) AS low, arg_max(coalesce(reason, ''), (reward, rollout_id)) AS reason FROM t GROUP BY 1),
+r AS (SELECT id AS prompt_id, min(ugf_response) AS reference FROM comparator_holdout WHERE ugf_response <> '' GROUP BY 1), j AS (SELECT * FROM e LEFT JOIN r USING (prompt_id))
+SELECT prompt_id, md5(reference) AS chosen, md5(worst) AS rejected, 'p4' AS chosen_src, 1.0::DOUBLE AS chosen_score, round(low, 4) AS rejected_score FROM j WHERE reference IS NOT NULL AND worst <> '' AND trim(reference) <> trim(worst)
+UNION ALL SELECT prompt_id, md5(best), md5(worst), 'onpolicy_best', round(high, 4), round(low, 4) FROM j WHERE reason = 'ok' AND high - low >= 0.2 AND trim(best) <> trim(worst)""")
+def w10_preference_pairs(spark, d):
+    """W10, Q-seq5: the pairs of a preference corpus, reference or best against the worst."""
+    t = read_table(spark, d, "rl_rollouts").where("reward is not null and completion_text is not null").withColumn("reason", F.when(F.col("reward") > 0.5, "ok").otherwise(F.col("reason")))
+    refs = read_table(spark, d, "comparator_holdout").where("ugf_response <> ''").groupBy(F.col("id").alias("prompt_id")).agg(F.min("ugf_response").alias("reference"))
+    out = scoring.preference_pairs(t, refs, "prompt_id", "completion_text", "rollout_id")
+    return out.select("prompt_id", F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected"), "chosen_src", "chosen_score", "rejected_score")
 
 
 @R.query(f"WITH w AS (SELECT b.type, CASE WHEN ugf_response IS NULL OR ugf_response = '' OR starts_with(ugf_response, '<') THEN 0 ELSE {WORDS.format('ugf_response')} END AS k FROM comparator_holdout JOIN bench b USING (id)) SELECT type, count(*)::BIGINT AS n, round(avg(k), 6) AS mean_words, round(avg((k < 20)::INT), 6) AS short_rate FROM w GROUP BY 1 ORDER BY mean_words DESC")
@@ -168,6 +203,14 @@ def a30_source_losses(spark, d):
     return t.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value") / F.count("*"), 6).alias("mean_loss"), F.round(F.exp(F.least(F.sum("value") / F.count("*") / 10, F.lit(30.0))), 3).alias("ppl"))
 
 
+@R.query("WITH g AS (SELECT form, count(*) AS n, sum(len(response)) / 1000.0 / count(*) AS loss FROM ugf_forms_corpus WHERE response IS NOT NULL GROUP BY 1) SELECT round(sum(loss * n) / sum(n), 6) AS overall_loss, round(exp(least(sum(loss * n) / sum(n), 30)), 4) AS overall_ppl FROM g")
+def a30_overall_loss(spark, d):
+    """The overall loss, the sources weighted by their batches."""
+    t = read_table(spark, d, "ugf_forms_corpus").where("response is not null")
+    g = t.groupBy("form").agg(F.count("*").alias("n_batches"), (F.sum(F.length("response")) / 1000.0 / F.count("*")).alias("loss"))
+    return scoring.overall_loss(g).select(F.round("overall_loss", 6).alias("overall_loss"), F.round("overall_ppl", 4).alias("overall_ppl"))
+
+
 @R.query("SELECT rollout_id, round((reward - avg(reward) OVER (PARTITION BY prompt_id)) / (coalesce(stddev_samp(reward) OVER (PARTITION BY prompt_id), 0) + 0.000001), 4) AS group_advantage FROM rl_rollouts WHERE reward IS NOT NULL")
 def w09_group_advantage(spark, d):
     """Advantages within a prompt; one prompt holds a tenth of the rows."""
@@ -175,9 +218,9 @@ def w09_group_advantage(spark, d):
     return scoring.group_advantage(t, "prompt_id", "reward").select("rollout_id", F.round("group_advantage", 4).alias("group_advantage"))
 
 
-@R.query("SELECT prompt_id, count(*)::BIGINT AS n, arg_max(rollout_id, (reward, -rollout_id)) AS best_id, max(reward) AS best_reward, arg_min(rollout_id, (reward, -rollout_id)) AS worst_id, min(reward) AS worst_reward FROM rl_rollouts WHERE reward IS NOT NULL GROUP BY 1")
+@R.query("SELECT prompt_id, count(*)::BIGINT AS n, arg_max(rollout_id, (reward, rollout_id)) AS best_id, max(reward) AS best_reward, arg_min(rollout_id, (reward, rollout_id)) AS worst_id, min(reward) AS worst_reward FROM rl_rollouts WHERE reward IS NOT NULL GROUP BY 1")
 def w10_best_and_worst(spark, d):
-    """The first best and the last worst rollout."""
+    """The last best and the first worst rollout, the ends of a stable sort."""
     t = read_table(spark, d, "rl_rollouts").where("reward is not null")
     return scoring.best_and_worst(t, "prompt_id", "reward", "rollout_id", "rollout_id", "reward").select("prompt_id", "n", F.col("best.rollout_id").alias("best_id"), F.col("best.reward").alias("best_reward"), F.col("worst.rollout_id").alias("worst_id"), F.col("worst.reward").alias("worst_reward"))
 
@@ -243,9 +286,10 @@ def j04_joined_truth(spark, d):
 @R.query("WITH a AS (SELECT id, rec_id, row_number() OVER (PARTITION BY id ORDER BY rec_id) AS attempt, coalesce(parse_ok, false) AS compliant FROM bench_run), b AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY compliant DESC, CASE WHEN compliant THEN attempt ELSE -attempt END) AS k FROM a) SELECT id, rec_id, attempt::BIGINT AS attempt, compliant, n::BIGINT AS n_attempts FROM b WHERE k = 1")
 def z07_settled(spark, d):
     """The outcome of a validate-and-retry loop."""
-    w = Window.partitionBy("id").orderBy("rec_id")
-    a = read_table(spark, d, "bench_run").select("id", "rec_id", F.row_number().over(w).cast("long").alias("attempt"), F.coalesce("parse_ok", F.lit(False)).alias("compliant"))
-    return pipelines.settled(a)
+    a = read_table(spark, d, "bench_run").select("id", "rec_id", F.coalesce("parse_ok", F.lit(False)).alias("compliant"))
+    best = pipelines.settled(a, order="rec_id")
+    before = a.join(best.select("id", F.col("rec_id").alias("_at")), "id").where(F.col("rec_id") <= F.col("_at")).groupBy("id").agg(F.count("*").alias("attempt"))
+    return best.join(before, "id")
 
 
 @R.query("SELECT b.id, r.rec_id, r.rec_id IS NULL AS failed, CASE WHEN r.rec_id IS NULL THEN 'no result' END AS failure_reason FROM bench b LEFT JOIN (SELECT id, min(rec_id) AS rec_id FROM comparator_holdout WHERE comparator_model = 'oster-7b' GROUP BY 1) r USING (id)")

@@ -168,7 +168,7 @@ def t19_margins_headers(spark, d):
     b = read_table(spark, d, "bench")
     page = F.concat(F.lit("PREFACE\nold\nCHAPTER I.\n"), F.replace("question", F.lit("\n"), F.lit(" ")), F.lit(" 36"))
     tail = text.from_header(page, r"CHAPTER\s+[IVXLC]+\.?")
-    return b.select("id", F.regexp_replace(text.without_margin_numbers(tail), r"^\n", "").alias("body"), F.trim(F.regexp_replace(text.without_margin_numbers(tail), r"\s+", " ")).alias("after_header"))
+    return b.select("id", F.regexp_replace(text.without_margin_numbers(tail), r"^\n", "").alias("body"), text.strip(F.regexp_replace(text.without_margin_numbers(tail), r"\s+", " ")).alias("after_header"))
 
 
 @R.query("SELECT item, role, content FROM (SELECT id AS item, 'assistant' AS role, expected_answer AS content FROM bench) WHERE content IS NOT NULL")

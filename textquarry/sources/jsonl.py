@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textquarry.functions.text import lstrip, strip
+
 CORRUPT = "_corrupt_record"
 
 
@@ -30,7 +32,7 @@ def lenient(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataF
     """The well-formed records, and how many lines were malformed."""
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    rows = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("r"))
+    rows = spark.read.text(path).where(strip("value") != "").select(parsed.alias("r"))
     bad = F.col(f"r.{CORRUPT}").isNotNull()
     return rows.where(~bad).select(*[F.col(f"r.{n}").alias(n) for n in schema.fieldNames()]), rows.agg(F.count(F.when(bad, 1)).alias("n_malformed"), F.count("*").alias("n_lines"))
 
@@ -77,7 +79,7 @@ def tree(spark: SparkSession, root: str, pattern: str = "*.md", leave_out: Seque
 def prompts(lines: DataFrame, keys: Sequence[str] = ("prompt", "english_query", "question", "text")) -> DataFrame:
     """Prompts from lines that are plain or JSON: of an object the first non-empty of the keys."""
     of_json = F.coalesce(*[F.nullif(F.get_json_object("value", f"$.{k}"), F.lit("")) for k in keys])
-    return lines.where(F.trim("value") != "").select(F.when(F.ltrim("value").startswith("{"), of_json).otherwise(F.trim("value")).alias("prompt")).where("prompt is not null")
+    return lines.where(strip("value") != "").select(F.when(lstrip("value").startswith("{"), of_json).otherwise(strip("value")).alias("prompt")).where("prompt is not null")
 
 
 def first_of_each(parts: Sequence[tuple[dict[str, str], DataFrame]], order: str, limit: int | None = None) -> DataFrame:
