@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,24 +60,32 @@ def targeted(text: Column, target: int = 350, least: int = 120, most: int = 600)
     return F.transform(F.filter(_grouped(units, most, target), lambda c: c["n"].between(least, most)), lambda c: c["text"])
 
 
+def _begun(df: DataFrame, id_col: str, lines: Column, opens: Callable[[Column], Column], part: Callable[[Column, Column], Column]) -> DataFrame:
+    """One row (id, n, part) for each stretch of lines that begins with one that opens it, all inside the
+    row: nothing is shuffled. part takes the opening line and the lines after it."""
+
+    def of(ls: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(1), F.greatest(F.size(ls), F.lit(1))), lambda i: F.coalesce(opens(F.get(ls, i - 1)), F.lit(False)))
+        stop = lambda hs, k: F.coalesce(F.get(hs, k + 1), F.size(ls) + 1)
+        return bound(heads, lambda hs: F.transform(hs, lambda h, k: part(F.get(ls, h - 1), F.slice(ls, h + 1, stop(hs, k) - h - 1))))
+
+    return df.select(id_col, F.posexplode(bound(lines, of)).alias("n", "p")).select(id_col, (F.col("n") + 1).cast("long").alias("n"), "p.*")
+
+
 def turns(df: DataFrame, id_col: str, text: str, opener: str) -> DataFrame:
     """Turns of a dialogue: a line that the opener matches (its first group is the speaker) begins one,
     other lines continue it; lines before the first are left out. id, turn, speaker, text."""
-    lines = df.select(id_col, F.posexplode(F.split(text, r"\n")).alias("pos", "line")).where(strip("line") != "")
-    w = Window.partitionBy(id_col).orderBy("pos")
-    marked = lines.withColumn("speaker", F.nullif(F.regexp_extract("line", opener, 1), F.lit("")))
-    numbered = marked.withColumn("turn", F.count("speaker").over(w)).where("turn > 0")
-    body = strip(F.regexp_replace("line", opener, ""))
-    return numbered.groupBy(id_col, "turn").agg(F.max("speaker").alias("speaker"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", body.alias("t")))), lambda s: s["t"]), " ").alias("text"))
+    lines = F.filter(F.split(text, r"\n"), lambda x: strip(x) != "")
+    body = lambda x: strip(F.regexp_replace(x, opener, ""))
+    speaker = lambda x: F.regexp_extract(x, opener, 1)
+    part = lambda head, rest: F.struct(speaker(head).alias("speaker"), F.array_join(F.concat(F.array(body(head)), F.transform(rest, body)), " ").alias("text"))
+    return _begun(df, id_col, lines, lambda x: speaker(x) != "", part).withColumnRenamed("n", "turn")
 
 
 def sections(df: DataFrame, id_col: str, text: str, header: str) -> DataFrame:
-    """Sections that begin with a line the header's pattern matches: id, section, title, body."""
-    lines = df.select(id_col, F.posexplode(F.split(text, r"\n")).alias("pos", "line"))
-    w = Window.partitionBy(id_col).orderBy("pos")
-    marked = lines.withColumn("is_header", F.col("line").rlike(header)).withColumn("section", F.count(F.when(F.col("is_header"), 1)).over(w)).where("section > 0")
-    body = F.sort_array(F.collect_list(F.when(~F.col("is_header"), F.struct("pos", "line"))))
-    return marked.groupBy(id_col, "section").agg(F.max(F.when(F.col("is_header"), strip("line"))).alias("title"), strip(F.array_join(F.transform(body, lambda s: s["line"]), "\n")).alias("body"))
+    """Sections that begin with a line the header's pattern matches: id, section, title, body, n_lines."""
+    part = lambda head, rest: F.struct(strip(head).alias("title"), strip(F.array_join(rest, "\n")).alias("body"), F.size(rest).cast("long").alias("n_lines"))
+    return _begun(df, id_col, F.split(text, r"\n"), lambda x: x.rlike(header), part).withColumnRenamed("n", "section")
 
 
 def neighbours(df: DataFrame, doc: str, order: str, speaker: str, text: str, low: int, high: int, filter_first: bool = False) -> DataFrame:

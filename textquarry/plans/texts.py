@@ -21,6 +21,9 @@ VOCAB = f"{FREQ}, vocab AS (SELECT word FROM freq ORDER BY n DESC, word LIMIT {T
 PUNCT = "('.', ',', '!', '?', ';', ':', '-', '(', ')', '\"', '''', '0', '1', '2', '3', '4', '5', '6', '7', '8', '9', E'\\n')"
 
 
+PLAIN_SQL = r"""replace(translate({0}, chr(8208) || chr(8209) || chr(8210) || chr(8211) || chr(8212) || chr(8213) || chr(8216) || chr(8217) || chr(8220) || chr(8221) || chr(160), '------''''' || chr(34) || chr(34) || ' '), chr(8230), '...')"""
+
+
 def _freq(spark, d):
     return vocabulary.frequencies(read_table(spark, d, "ugf_reasoning"), "ugf_text")
 
@@ -61,6 +64,16 @@ def t06_t07_validation(spark, d):
     return vocabulary.violations(read_table(spark, d, "ugf_reasoning"), "rec_id", "ugf_text", _vocab(spark, d)).withColumns({"n_tokens": F.col("n_tokens").cast("long"), "n_out": F.col("n_out").cast("long")})
 
 
+@R.query(f"""WITH {VOCAB}, x AS (SELECT rec_id, coalesce(prompt, '') AS p, coalesce(response, '') AS r FROM ugf_forms_corpus), y AS (SELECT rec_id, {PLAIN_SQL.format("p")} AS p, {PLAIN_SQL.format("r")} AS r FROM x),
+t AS (SELECT rec_id, list_concat(regexp_extract_all(p, '{TOKEN}'), regexp_extract_all(r, '{TOKEN}')) AS a FROM y), u AS (SELECT rec_id, unnest(a) AS tok, generate_subscripts(a, 1) AS pos FROM t),
+c AS (SELECT rec_id, count(*) AS n, string_agg(tok, '|' ORDER BY pos) FILTER (v.word IS NULL AND tok NOT IN {PUNCT}) AS bad FROM u LEFT JOIN vocab v ON lower(u.tok) = v.word GROUP BY 1)
+SELECT t.rec_id, coalesce(n, 0)::BIGINT AS n_tokens, bad IS NULL AS is_valid, md5(coalesce(bad, '')) AS violations FROM t LEFT JOIN c USING (rec_id)""")
+def t06_t10_pairs(spark, d):
+    """Pairs of prompt and response made plain and validated, the violations of both in order."""
+    found = vocabulary.validated(read_table(spark, d, "ugf_forms_corpus"), "rec_id", ["prompt", "response"], _vocab(spark, d))
+    return found.select("rec_id", "n_tokens", (F.size("violations") == 0).alias("is_valid"), F.md5(F.array_join("violations", "|")).alias("violations"))
+
+
 @R.query("SELECT rec_id, len(list_filter(v, lambda w: regexp_matches(w, '^[A-Z]') AND lower(w) = 'thus'))::BIGINT AS n_allowed, len(list_filter(v, lambda w: regexp_matches(w, '^[A-Z]') AND lower(w) <> 'thus'))::BIGINT AS n_other, len(list_filter(v, lambda w: NOT regexp_matches(w, '^[A-Z]')))::BIGINT AS n_lexical, CASE WHEN len(v) > 2 THEN '\"' || array_to_string(v[1:2], '\", \"') || '\" (and ' || (len(v) - 2) || ' more)' ELSE array_to_string(list_transform(v, lambda w: '\"' || w || '\"'), ', ') END AS message FROM (SELECT rec_id, remaining_violations AS v FROM ugf_cot WHERE len(remaining_violations) > 0)")
 def t08_t11_violations(spark, d):
     """Kinds of violations, and the list for a correction."""
@@ -225,14 +238,11 @@ def w01_w04_pairs(spark, d):
 
 
 @R.query(r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents), m AS (SELECT *, regexp_matches(line, '^#{1,6} ') AS h FROM l), t AS (SELECT *, count(*) FILTER (h) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM m)
-SELECT doc_id, section::BIGINT AS section, max(trim(line)) FILTER (h) AS title, count(*) FILTER (NOT h)::BIGINT AS n_lines FROM t WHERE section > 0 GROUP BY 1, 2""")
+SELECT doc_id, section::BIGINT AS section, max(trim(line)) FILTER (h) AS title, md5(trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT h), ''))) AS body, count(*) FILTER (NOT h)::BIGINT AS n_lines FROM t WHERE section > 0 GROUP BY 1, 2""")
 def w03_sections(spark, d):
     """Sections under header lines."""
     s = chunking.sections(read_table(spark, d, "documents").where("text is not null"), "doc_id", "text", r"^#{1,6} ")
-    lines = read_table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("h", F.col("line").rlike(r"^#{1,6} "))
-    sec = F.count(F.when(F.col("h"), 1)).over(Window.partitionBy("doc_id").orderBy("pos"))
-    counts = lines.withColumn("section", sec).where("section > 0").groupBy("doc_id", "section").agg(F.count(F.when(~F.col("h"), 1)).alias("n_lines"))
-    return s.select("doc_id", "section", "title").join(counts, ["doc_id", "section"])
+    return s.select("doc_id", "section", "title", F.md5("body").alias("body"), "n_lines")
 
 
 @R.query()
@@ -283,20 +293,8 @@ def x05_cosine(spark, d):
 
 
 def _encoded(spark, d, table, key, column):
-    """Ids of a text column in the curated vocabulary: a token's id comes by a join on the distinct
-    tokens, so the vocabulary may be of any size."""
-    vocab = vocabulary.with_ids(_vocab(spark, d))
-    t = read_table(spark, d, table)
-    toks = t.select(key, F.posexplode(text.tokens(F.col(column))).alias("pos", "tok"))
-    distinct = toks.select("tok").distinct()
-    low = vocab.select(F.col("token").alias("_l"), F.col("id").alias("low_id"))
-    raw = vocab.select(F.col("token").alias("_r"), F.col("id").alias("raw_id"))
-    table_ids = distinct.join(low, F.lower("tok") == F.col("_l"), "left").join(raw, F.col("tok") == F.col("_r"), "left")
-    cap = F.col("tok").rlike(r"^\p{Lu}") & (F.length("tok") > 1)
-    ids = F.when(F.col("low_id").isNotNull() & cap, F.array(F.lit(sequences.CAP), F.col("low_id"))).otherwise(F.array(F.coalesce("low_id", "raw_id", F.lit(sequences.UNK))))
-    joined = toks.join(table_ids.select("tok", ids.alias("ids")), "tok")
-    seqs = joined.groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda s: s["ids"])).alias("ids"))
-    return t.select(key).join(seqs, key, "left").select(key, F.coalesce("ids", F.expr("cast(array() as array<int>)")).alias("ids"))
+    """Ids of a text column in the curated vocabulary."""
+    return vocabulary.encoded(read_table(spark, d, table), key, column, vocabulary.with_ids(_vocab(spark, d)))
 
 
 IDS = f"""{VOCAB}, head AS (SELECT unnest(['<PAD>', '<UNK>', '<BOS>', '<EOS>', '<CAP>', '.', ',', '!', '?', ';', ':', '-', '(', ')', '"', '''', '0', '1', '2', '3', '4', '5', '6', '7', '8', '9', E'\\n']) AS token, generate_subscripts(['<PAD>', '<UNK>', '<BOS>', '<EOS>', '<CAP>', '.', ',', '!', '?', ';', ':', '-', '(', ')', '"', '''', '0', '1', '2', '3', '4', '5', '6', '7', '8', '9', E'\\n'], 1) - 1 AS tid),
@@ -313,11 +311,13 @@ def t03_t04_encoding(spark, d):
     return e.select("id", F.array_join(F.transform(sequences.wrapped("ids"), lambda x: x.cast("string")), " ").alias("ids"))
 
 
-@R.query()
+@R.query(f"""WITH {IDS}, w AS (SELECT t.id, pos, CASE WHEN l.tid IS NOT NULL AND regexp_matches(tok, '^[A-Z]') AND length(tok) > 1 THEN upper(tok[1]) || lower(tok[2:]) WHEN l.tid IS NOT NULL THEN lower(tok) ELSE r.token END AS w FROM toks t LEFT JOIN ids l ON lower(t.tok) = l.token LEFT JOIN ids r ON t.tok = r.token),
+s AS (SELECT id, string_agg(w, ' ' ORDER BY pos) AS s FROM w WHERE w IS NOT NULL GROUP BY 1)
+SELECT b.id, trim(coalesce(regexp_replace(regexp_replace(s, ' ([.,!?;:)''"])', '\\1', 'g'), ' ?\\n ?', chr(10), 'g'), '')) AS text FROM bench b LEFT JOIN s USING (id)""")
 def t05_detokenised(spark, d):
-    """T5: back to text by a fold."""
-    vocab = F.create_map(*[x for w in ("the", "a", "of", "to", "is", "in") for x in (F.lit(w), F.lit(9))], F.lit("."), F.lit(5))
-    return read_table(spark, d, "bench").select("id", sequences.detokenised(sequences.pieces("question", vocab)).alias("text"))
+    """Texts in the curated vocabulary and back to text by a fold."""
+    e = vocabulary.encoded(read_table(spark, d, "bench"), "id", "question", vocabulary.with_ids(_vocab(spark, d)), pieces=True)
+    return e.select("id", sequences.detokenised("pieces").alias("text"))
 
 
 @R.query(f"WITH {IDS}, a AS (SELECT id, string_split('2 ' || s || ' 3', ' ') AS f FROM seq), c AS (SELECT id, CASE WHEN len(f) > 40 THEN list_concat(f[1:39], ['3']) ELSE f END AS f FROM a) SELECT id, array_to_string(f, ' ') AS ids, array_to_string(list_concat(list_transform(f[1:5], lambda x: '-100'), f[6:]), ' ') AS labels, greatest(len(f) - 5, 0)::BIGINT AS n_trained FROM c")
