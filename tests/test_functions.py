@@ -148,3 +148,21 @@ def test_training(spark):
         training.preference_loss(F.lit(1.0), F.lit(1.0), variant="other")
     night = lambda h: one(spark, training.is_night(F.lit(f"2024-01-01 {h}:00").cast("timestamp"), "17:00", "05:00"))
     assert night("18") and night("02") and not night("12")
+
+
+def test_strip_takes_all_white_space(spark):
+    assert one(spark, text.strip("t"), t="\n\u00a0 a b\t\u2003") == "a b"
+    assert one(spark, keys.content_hash("t"), t="abc\n") == one(spark, keys.content_hash("t"), t="abc")
+
+
+def test_preference_sides(spark):
+    arr = lambda *xs: F.array(*map(F.lit, xs))
+    got = one(spark, sequences.preference_pair(arr(7, 8), arr(9, 10, 11), arr(12), 6), t="")
+    assert (got.chosen_ids, got.rejected_ids, got.prompt_len) == ([2, 7, 8, 9, 10, 3], [2, 7, 8, 12, 3], 3)
+    assert one(spark, sequences.preference_pair(arr(7, 8, 9, 10), arr(9), arr(12), 6), t="") is None
+
+
+def test_sql_trims_like_strip():
+    from textquarry.plans.registry import stripping
+
+    assert stripping("trim(a || lower(trim(b))) , ltrim(c, 'x')").count("\u2003") == 2

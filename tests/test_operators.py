@@ -1,6 +1,8 @@
 import math
 import re
 
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +191,45 @@ def test_losses_of_all_events(spark, data):
         assert got[k].dpo == pytest.approx(soft(0.1 * (v / 100 - 1)), abs=1e-6) and got[k].apo == pytest.approx(soft(0.1 * v / 100) + soft(-0.1), abs=1e-6)
     kept = {r.event_id: r for r in QUERIES["x02_x03_losses"](spark, data).collect()}
     assert set(kept) == {k for k, v in values.items() if v < 20} and all((r.dpo, r.apo) == (got[k].dpo, got[k].apo) for k, r in kept.items())
+
+
+def test_vocabulary_in_batches_equals_the_join(spark):
+    rows = [(1, "The Cat sat.", "A dog\u2019s bone"), (2, None, ""), (3, "cat cat THE 7 \n zebra", "x"), (4, "cat " * 5000, None)]
+    df = frame(spark, rows, "id long, t string, u string")
+    v = frame(spark, [("cat",), ("the",), ("dog's",)], "word string")
+    key = lambda rs: sorted((r.id, r.n_tokens, tuple(r.violations)) for r in rs)
+    small, large = (vocabulary.validated(df, "id", ["t", "u"], v, most=m).collect() for m in (100, 1))
+    assert key(small) == key(large) and key(small)[0] == (1, 7, ("sat", "A", "bone"))
+    tokens_of = vocabulary.with_ids(v)
+    for pieces, name in ((False, "ids"), (True, "pieces")):
+        a, b = (sorted((r.id, tuple(r[name])) for r in vocabulary.encoded(df, "id", "t", tokens_of, pieces=pieces, most=m).collect()) for m in (100, 1))
+        assert a == b
+    assert vocabulary.validated(df.limit(0), "id", ["t"], v).count() == 0
+
+
+def test_preference_pairs(spark):
+    rows = [("p", 1, "worst", 0.1, "x"), ("p", 2, "also worst", 0.1, "x"), ("p", 3, "good", 0.9, "ok"), ("q", 4, " same ", 0.1, "x"), ("q", 5, "same", 0.9, "ok"), ("r", 6, "only", 0.5, "ok")]
+    df = frame(spark, rows, "prompt_id string, rollout_id long, text string, reward double, reason string")
+    refs = frame(spark, [("p", "reference"), ("r", "only\n")], "prompt_id string, reference string")
+    got = {(r.prompt_id, r.chosen, r.rejected, r.chosen_src) for r in scoring.preference_pairs(df, refs, "prompt_id", "text", "rollout_id").collect()}
+    assert got == {("p", "reference", "worst", "p4"), ("p", "good", "worst", "onpolicy_best")}
+
+
+def test_pairwise_and_profiles(spark):
+    df = frame(spark, [("A", "x", "y"), ("", "x", "y"), (None, "x", "y"), ("tie", "x", "y"), ("?", "x", "y")], "winner string, slot_a string, slot_b string")
+    assert {r.won: r.n for r in scoring.pairwise(df).collect()} == {"x": 1, "tie": 3, None: 1}
+    few = scoring.length_profile(frame(spark, [("g", k) for k in (1, 2, 3)], "g string, k long"), "k", "g").first()
+    assert (few.p10, few.p90, few.median, few.least, few.most) == (1, 3, 2, 1, 3)
+    many = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9, 7]
+    got = scoring.length_profile(frame(spark, [("g", k) for k in many], "g string, k long"), "k", "g").first()
+    cuts = statistics.quantiles(many, n=10)
+    assert (got.p10, got.p90, got.median, got.at_90) == (pytest.approx(cuts[0]), pytest.approx(cuts[8]), statistics.median(many), sorted(many)[int(0.9 * len(many))])
+
+
+def test_turns_and_sections(spark):
+    df = frame(spark, [(1, "before\nMENO: One\n\n two \nANYTUS: Three"), (2, None), (3, ""), (4, "no speaker")], "id long, t string")
+    got = [(r.id, r.turn, r.speaker, r.text) for r in chunking.turns(df, "id", "t", r"^([A-Z][A-Z]+):\s").orderBy("id", "turn").collect()]
+    assert got == [(1, 1, "MENO", "One two"), (1, 2, "ANYTUS", "Three")]
+    df = frame(spark, [(1, "# A\nx\ny\n# B"), (2, None)], "id long, t string")
+    got = [(r.section, r.title, r.body, r.n_lines) for r in chunking.sections(df, "id", "t", r"^# ").orderBy("section").collect()]
+    assert got == [(1, "# A", "x\ny", 2), (2, "# B", "", 0)]

@@ -79,6 +79,19 @@ def budgeted(prompt: str | Column, reasoning: str | Column, marker: Column, answ
     return F.when(fixed <= most, F.concat(F.array(F.lit(BOS)), p, F.slice(r, F.lit(1), F.greatest(F.lit(0), F.least(F.size(r), F.lit(most) - fixed))), marker, a, F.array(F.lit(EOS))))
 
 
+def preference_side(prompt: str | Column, completion: str | Column, most: int) -> Column:
+    """Begin, prompt, as much of a completion as fits, end; null where no room is left for a completion."""
+    p, c = _c(prompt), _c(completion)
+    room = F.lit(most) - F.size(p) - 2
+    return F.when(room > 0, F.concat(F.array(F.lit(BOS)), p, F.slice(c, F.lit(1), F.greatest(F.least(F.size(c), room), F.lit(0))), F.array(F.lit(EOS))))
+
+
+def preference_pair(prompt: str | Column, chosen: str | Column, rejected: str | Column, most: int) -> Column:
+    """Both sides of a preference pair with the length of the prompt in them; null where either is."""
+    a, b = preference_side(prompt, chosen, most), preference_side(prompt, rejected, most)
+    return F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("chosen_ids"), b.alias("rejected_ids"), (F.size(_c(prompt)) + 1).alias("prompt_len")))
+
+
 def padded(seq: str | Column, width: Column, fill: int = PAD) -> Column:
     s = _c(seq)
     return F.concat(s, F.array_repeat(F.lit(fill), (width - F.size(s)).cast("int")))

@@ -104,18 +104,34 @@ def pair_ids(df: DataFrame, doc: str, order: str, label: str = "pair") -> DataFr
     return df.withColumn("pair_id", F.concat_ws("_", F.col(doc).cast("string"), F.lit(label), F.format_string("%03d", F.row_number().over(w))))
 
 
+# The patterns of a scholastic article: its header, its title, an objection and a reply.
+ARTICLE = r"(?m)^(?:FIRST|SECOND|THIRD|FOURTH|FIFTH|SIXTH|SEVENTH|EIGHTH|NINTH|TENTH|ELEVENTH|TWELFTH)\s+ARTICLE\b.*?\[I,\s*Q\.\s*(\d+),\s*Art\.\s*(\d+)\]"
+TITLE = r"(?m)^(Whether\s+.+?\?)\s*$"
+OBJECTION = r"(?ms)^(?:Objection|Obj\.)\s+(\d+):\s*(.+?)(?=\n\s*(?:Obj\.|Objection|_On the contrary,_|Reply Obj\.|_{23}))"
+REPLY = r"(?ms)^Reply\s+Obj\.\s+(\d+):\s*(.+?)(?=\n\s*(?:Reply Obj\.|_{23}|^[A-Z]+\s+ARTICLE|\z))"
+
+
+def articles(text: Column) -> Column:
+    """The headers of the articles of a text: array of (question, article)."""
+    return F.arrays_zip(F.regexp_extract_all(text, F.lit(ARTICLE), F.lit(1)).alias("question"), F.regexp_extract_all(text, F.lit(ARTICLE), F.lit(2)).alias("article"))
+
+
+def titles(text: Column) -> Column:
+    """The titles in a text: lines that begin with Whether and end in a question mark."""
+    return F.regexp_extract_all(text, F.lit(TITLE), F.lit(1))
+
+
 def objections(text: Column) -> Column:
     """The numbered objections of an article: array of (n, text)."""
-    return _numbered(text, r"(?:Objection|Obj\.)", r"(?:Obj\.|Objection|_On the contrary,_|Reply Obj\.|_{10,})")
+    return _numbered(text, OBJECTION)
 
 
 def replies(text: Column) -> Column:
     """The numbered replies of an article: array of (n, text)."""
-    return _numbered(text, r"Reply\s+Obj\.", r"(?:Reply Obj\.|_{10,}|[A-Z]+\s+ARTICLE|\z)")
+    return _numbered(text, REPLY)
 
 
-def _numbered(text: Column, head: str, stop: str) -> Column:
-    pattern = rf"(?ms)^{head}\s+(\d+):\s*(.+?)(?=\n\s*{stop}|\z)"
+def _numbered(text: Column, pattern: str) -> Column:
     return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("text"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions.stats import stdev
-from textquarry.functions.text import strip
+from textquarry.functions.text import split_violations, strip
 from textquarry.functions.training import perplexity
 
 
@@ -137,6 +137,15 @@ def best_and_worst(df: DataFrame, group: str, score: str, order: str, *keep: str
     return df.groupBy(group).agg(F.max_by(cols, rank).alias("best"), F.min_by(cols, rank).alias("worst"), F.count("*").alias("n"))
 
 
+def compliance_rates(df: DataFrame, violations: str, allowed: Sequence[str], *by: str) -> DataFrame:
+    """The share of rows without violations, the share without any but allowed proper nouns, and the mean
+    number of lexical violations; rows without a list are left out."""
+    parts = split_violations(violations, allowed)
+    adjusted = (F.size(parts["lexical"]) == 0) & (F.size(parts["proper_other"]) == 0)
+    share = lambda c: F.avg(c.cast("double"))
+    return df.where(F.col(violations).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), share(F.size(violations) == 0).alias("strict_rate"), share(adjusted).alias("adjusted_rate"), F.avg(F.size(parts["lexical"])).alias("mean_lexical"))
+
+
 def overall_loss(losses: DataFrame) -> DataFrame:
     """The loss over all sources, each weighted by its batches, and its perplexity. losses: loss, n_batches."""
     loss = F.sum(F.col("loss") * F.col("n_batches")) / F.sum("n_batches")

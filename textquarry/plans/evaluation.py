@@ -203,6 +203,14 @@ def a30_source_losses(spark, d):
     return t.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value") / F.count("*"), 6).alias("mean_loss"), F.round(F.exp(F.least(F.sum("value") / F.count("*") / 10, F.lit(30.0))), 3).alias("ppl"))
 
 
+@R.query("SELECT form, count(*)::BIGINT AS n, round(avg((len(v) = 0)::INT), 6) AS strict_rate, round(avg((len(list_filter(v, lambda w: NOT (regexp_matches(w, '^[A-Z]') AND lower(w) IN ('thus', 'plato')))) = 0)::INT), 6) AS adjusted_rate, round(avg(len(list_filter(v, lambda w: NOT regexp_matches(w, '^[A-Z]')))), 6) AS mean_lexical FROM (SELECT form, list_transform(remaining_violations, lambda w: CASE WHEN length(w) % 2 = 0 THEN upper(w[1]) || w[2:] ELSE w END) AS v FROM ugf_forms_corpus WHERE remaining_violations IS NOT NULL) GROUP BY 1")
+def a29_strict_adjusted(spark, d):
+    """Strict and adjusted compliance and the mean of lexical violations."""
+    v = F.transform("remaining_violations", lambda w: F.when(F.length(w) % 2 == 0, F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))).otherwise(w))
+    out = scoring.compliance_rates(read_table(spark, d, "ugf_forms_corpus").withColumn("v", v), "v", ["thus", "plato"], "form")
+    return out.select("form", "n", *[F.round(c, 6).alias(c) for c in ("strict_rate", "adjusted_rate", "mean_lexical")])
+
+
 @R.query("WITH g AS (SELECT form, count(*) AS n, sum(len(response)) / 1000.0 / count(*) AS loss FROM ugf_forms_corpus WHERE response IS NOT NULL GROUP BY 1) SELECT round(sum(loss * n) / sum(n), 6) AS overall_loss, round(exp(least(sum(loss * n) / sum(n), 30)), 4) AS overall_ppl FROM g")
 def a30_overall_loss(spark, d):
     """The overall loss, the sources weighted by their batches."""

@@ -121,9 +121,10 @@ def p12_answer_span(spark, d):
     return read_table(spark, d, "bench_run").where(p["parse_ok"]).select("rec_id", p["answer"].alias("ugf_response"), F.lit(True).alias("was_parsed"))
 
 
-@R.query()
+@R.query(r"""WITH t AS (SELECT rec_id, trim(ugf_response) AS t FROM comparator_holdout), p AS (SELECT *, trim(regexp_extract(t, '(?is)^(.*)final answer\s*:\s*(.*)$', 1)) AS b, trim(regexp_extract(t, '(?is)^(.*)final answer\s*:\s*(.*)$', 2)) AS a, string_split(regexp_replace(t, '([.!?])[\s\x0b]+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM t)
+SELECT rec_id, CASE WHEN b <> '' AND a <> '' THEN b WHEN len(parts) >= 2 THEN array_to_string(parts[1:len(parts) - 1], ' ') ELSE t END AS reasoning, CASE WHEN b <> '' AND a <> '' THEN a WHEN len(parts) >= 2 THEN parts[len(parts)] ELSE t END AS answer FROM p""")
 def t23_final_answer(spark, d):
-    """The last cue or the last sentence (lookbehind: no SQL)."""
+    """The last cue or the last sentence."""
     p = text.final_answer("ugf_response")
     return read_table(spark, d, "comparator_holdout").select("rec_id", p["reasoning"].alias("reasoning"), p["answer"].alias("answer"))
 
@@ -245,6 +246,15 @@ def w03_sections(spark, d):
     return s.select("doc_id", "section", "title", F.md5("body").alias("body"), "n_lines")
 
 
+@R.query(r"""WITH t AS (SELECT id, 'FIRST ARTICLE [I, Q. ' || (length(question) % 40) || ', Art. 2]' || chr(10) || chr(10) || 'Whether ' || lower(question[1]) || question[2:] || chr(10) || 'Body' AS t FROM bench)
+SELECT id, regexp_extract(t, '\[I,\s*Q\.\s*(\d+),', 1) AS question, array_to_string(regexp_extract_all(t, '(?m)^(Whether\s+.+?\?)\s*$', 1), '|') AS titles FROM t""")
+def t18_titles(spark, d):
+    """Headers and titles of articles."""
+    page = F.concat(F.lit("FIRST ARTICLE [I, Q. "), (F.length("question") % 40).cast("string"), F.lit(", Art. 2]\n\nWhether "), F.lower(F.substring("question", 1, 1)), F.substring("question", 2, 2**31 - 1), F.lit("\nBody"))
+    b = read_table(spark, d, "bench").select("id", page.alias("t"))
+    return b.select("id", F.get(chunking.articles(F.col("t")), F.lit(0))["question"].alias("question"), F.array_join(chunking.titles(F.col("t")), "|").alias("titles"))
+
+
 @R.query()
 def t18_j08_objections(spark, d):
     """Objections beside their replies, within works written in that form."""
@@ -329,12 +339,37 @@ def q01_q02_q06_masks(spark, d):
     return e.select("id", show("ids").alias("ids"), show("labels").alias("labels"), sequences.trained("labels").cast("long").alias("n_trained"))
 
 
-@R.query()
-def q03_q05_budgets(spark, d):
-    """Q-seq3, 5: prompt, as much reasoning as fits, marker and answer."""
-    e = _encoded(spark, d, "bench", "id", "question").withColumnRenamed("ids", "p").join(_encoded(spark, d, "bench", "id", "expected_answer").withColumnRenamed("ids", "a"), "id")
-    full = sequences.budgeted("p", "p", F.array(F.lit(10), F.lit(11)), "a", 96)
-    return e.select("id", full.alias("ids")).where("ids is not null").select("id", F.size("ids").cast("long").alias("n"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+def _lists(name: str, table: str, key: str, column: str) -> str:
+    """The SQL of the ids of a column, as lists."""
+    return f"""{name}_t AS (SELECT {key} AS k, unnest(regexp_extract_all({column}, '{TOKEN}')) AS tok, generate_subscripts(regexp_extract_all({column}, '{TOKEN}'), 1) AS pos FROM {table}),
+{name} AS (SELECT k, list(CASE WHEN l.tid IS NOT NULL AND regexp_matches(tok, '^[A-Z]') AND length(tok) > 1 THEN [4, l.tid] ELSE [coalesce(l.tid, r.tid, 1)] END ORDER BY pos) AS f FROM {name}_t t LEFT JOIN ids l ON lower(t.tok) = l.token LEFT JOIN ids r ON t.tok = r.token GROUP BY 1)"""
+
+
+COT = "(SELECT * FROM ugf_cot WHERE track = 'philosophy')"
+
+
+@R.query(f"""WITH {IDS}, {_lists("p", COT, "rec_id", "prompt_text")}, {_lists("r", COT, "rec_id", "reasoning")}, {_lists("a", COT, "rec_id", "conclusion")},
+x AS (SELECT c.rec_id, coalesce(flatten(p.f), []) AS p, coalesce(flatten(r.f), []) AS r, coalesce(flatten(a.f), []) AS a FROM {COT} c LEFT JOIN p ON p.k = c.rec_id LEFT JOIN r ON r.k = c.rec_id LEFT JOIN a ON a.k = c.rec_id), y AS (SELECT *, len(p) + len(a) + 4 AS fixed FROM x)
+SELECT rec_id, array_to_string(list_concat(list_concat([2], p), list_concat(r[1:greatest(0, least(len(r), 160 - fixed))], list_concat([10, 11], list_concat(a, [3])))), ' ') AS ids FROM y WHERE fixed <= 160""")
+def q03_budgets(spark, d):
+    """Q-seq3: prompt, as much reasoning as fits, marker and answer."""
+    t, vocab = read_table(spark, d, "ugf_cot").where("track = 'philosophy'"), vocabulary.with_ids(_vocab(spark, d))
+    e = [vocabulary.encoded(t, "rec_id", c, vocab).withColumnRenamed("ids", n) for c, n in (("prompt_text", "p"), ("reasoning", "r"), ("conclusion", "a"))]
+    full = sequences.budgeted("p", "r", F.array(F.lit(10), F.lit(11)), "a", 160)
+    return e[0].join(e[1], "rec_id").join(e[2], "rec_id").select("rec_id", full.alias("ids")).where("ids is not null").select("rec_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+
+
+@R.query(f"""WITH {IDS}, {_lists("p", "bench", "id", "question")}, {_lists("c", "bench", "id", "expected_answer")}, {_lists("r", "bench", "id", "instruction")},
+x AS (SELECT p.k AS id, flatten(p.f) AS p, flatten(c.f) AS c, flatten(r.f) AS r, 120 - len(flatten(p.f)) - 2 AS room FROM p JOIN c USING (k) JOIN r USING (k))
+SELECT id, array_to_string(list_concat(list_concat([2], p), list_concat(c[1:least(len(c), room)], [3])), ' ') AS chosen_ids, array_to_string(list_concat(list_concat([2], p), list_concat(r[1:least(len(r), room)], [3])), ' ') AS rejected_ids, len(p) + 1 AS prompt_len FROM x WHERE room > 0""")
+def q05_preferences(spark, d):
+    """Q-seq5: both sides of preference pairs, cut to a length, with the prompt's length."""
+    b, vocab = read_table(spark, d, "bench"), vocabulary.with_ids(_vocab(spark, d))
+    e = [vocabulary.encoded(b, "id", c, vocab).withColumnRenamed("ids", n) for c, n in (("question", "p"), ("expected_answer", "c"), ("instruction", "r"))]
+    pair = sequences.preference_pair("p", "c", "r", 120)
+    full = e[0].join(e[1], "id").join(e[2], "id").where("size(p) > 0 and size(c) > 0 and size(r) > 0").select("id", pair.alias("x")).where("x is not null")
+    show = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    return full.select("id", show("x.chosen_ids").alias("chosen_ids"), show("x.rejected_ids").alias("rejected_ids"), F.col("x.prompt_len").cast("long").alias("prompt_len"))
 
 
 @R.query(f"WITH {IDS}, b AS (SELECT id, string_split(s, ' ') AS f, (row_number() OVER (ORDER BY id) - 1) // 16 AS batch FROM seq), w AS (SELECT *, max(len(f)) OVER (PARTITION BY batch) AS width FROM b) SELECT id, batch::BIGINT + 1 AS batch, width::BIGINT AS width, array_to_string(f, ' ') || repeat(' 0', width - len(f)) AS ids, len(f)::BIGINT AS attended FROM w")
