@@ -55,9 +55,10 @@ def coverage(freq: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def _sent(vocab: DataFrame, most: int):
     """The vocabulary as a broadcast map from token to id, or None where it has more than `most` tokens."""
-    if vocab.limit(most + 1).count() > most:
+    rows = vocab.select("token", "id").limit(most + 1).collect()  # at most so many
+    if len(rows) > most:
         return None
-    return vocab.sparkSession.sparkContext.broadcast({r.token: r.id for r in vocab.select("token", "id").collect()})
+    return vocab.sparkSession.sparkContext.broadcast({r.token: r.id for r in rows})
 
 
 def _plain(text: str | None) -> str:
