@@ -20,6 +20,16 @@ def _place(spark, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _stream(spark, d, name):
+    """One table of a data folder as a stream, whether it is one file or a folder of parts: a stream's path
+    must be a folder, and a filter by the table's name would pass none of its parts."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    files = spark.readStream.schema(read_table(spark, d, name).schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return files.parquet(f"{d}/{name}.parquet")
+    return files.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
 BENCH = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "type", "category", "question")] + [T.StructField("expected_difficulty", T.IntegerType())])
 
 
@@ -131,7 +141,7 @@ def k06_t38_report(spark, d):
 def k07_metric_rows(spark, d):
     """Metric rows of a stream appended batch by batch."""
     out = _place(spark, "metrics")
-    t = spark.readStream.schema(read_table(spark, d, "rl_rollouts").schema).option("pathGlobFilter", "rl_rollouts.parquet").parquet(d)
+    t = _stream(spark, d, "rl_rollouts")
     q = sinks.append_metrics(t.select(F.coalesce("policy", F.lit("none")).alias("policy"), "step"), out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("policy string, step int").json(f"{out}/batch_id=*").groupBy("policy", "step").agg(F.count("*").alias("n"))
